@@ -7,14 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_fallback: str | None = None
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    global _fallback
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="quern-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _fallback = _fallback or tempfile.mkdtemp(prefix="quern-ckpt-")
+        root = _fallback
     return root.rstrip("/")
 
 
