@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
 
 def get_session(app: str = "quern", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -23,6 +28,14 @@ def get_session(app: str = "quern", cpus: int | str = "*", shuffle_partitions: i
     return spark
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers of this host import the package; a cluster gets it by ``--py-files`` or installation."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. The path is only ever opened by Spark's reader."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
