@@ -1,5 +1,27 @@
 """DuckDB SQL for the queries that SQL expresses, written independently of the Spark plans."""
 
+op2_minhash_near_dedup = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) = 1 THEN [l[1]]
+         ELSE list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) END AS g FROM w),
+c AS (SELECT list_sort(g) AS g, min(doc_id) AS id, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY ALL),
+e AS MATERIALIZED (SELECT id, n, unnest(g) AS g FROM c),
+df AS (SELECT g, count(*) AS f FROM e GROUP BY g),
+o AS (SELECT id, n, e.g, row_number() OVER (PARTITION BY id ORDER BY f, e.g) AS r FROM e JOIN df USING (g)),
+p AS MATERIALIZED (SELECT id, n, g FROM o WHERE r <= n - ceil(0.8 * n) + 1),
+cand AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.g = b.g AND a.id < b.id AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n),
+inter AS (SELECT a, b, na, nb, count(*) AS i FROM cand JOIN e x ON x.id = a JOIN e y ON y.id = b AND x.g = y.g GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM inter WHERE 100 * i >= 80 * (na + nb - i)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, r) AS (SELECT id, id FROM c UNION SELECT reach.id, b FROM reach JOIN both_ways ON a = r),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN comp ON comp.id = c.id
+"""
+
 op5_url_filters = r"""
 WITH split AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),

@@ -5,6 +5,12 @@ from __future__ import annotations
 from quern.session import table
 
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    from quern.llm.near import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op5_url_filters(spark, sf_dir):
     from quern.llm.urlrules import judge
 
@@ -18,7 +24,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op5_url_filters, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_url_filters, op10_chat_formatting)}
 
 
 def oracle_sql():
