@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from quern.functions.storage import materialise, release
 from quern.llm.components import connected_components
+from quern.llm.grid import add_up, bitmap, in_bitmap
 from quern.llm.wordhash import MinHash, shingles, words
 
 SIZE, MATCHES = 64, 38
 PREFIX = SIZE - MATCHES + 1
 CELL_BITS = 18  # of the count sketch
-MAP_BITS = 24  # of the candidate bitmap
 LIST_BLOCK = 2048
 
 
@@ -64,7 +64,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "sig"]).assign(doc_id=batch["doc_id"].array)[
                 ["doc_id", "n_shingles", "d1", "d2", "sig"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    # Ids travel as strings: pandas would turn a nullable long into a double.
+    signed = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n_shingles long, d1 long, d2 long, sig binary")
+    return signed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _tokens(sigs: np.ndarray) -> np.ndarray:
@@ -81,30 +83,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), SIZE)
 
 
-def _grid(df: DataFrame, cells, n: int, dtype: str) -> np.ndarray:
-    """The sum over all rows of an array of ``n`` cells, added up by blocks on the executors."""
-    step = min(n, 1 << 14)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(n, np.dtype(dtype))
-        for batch in batches:
-            cells(total, batch)
-        filled = [k for k in range(0, n, step) if total[k : k + step].any()]
-        yield pd.DataFrame({"block": [k // step for k in filled], "part": [total[k : k + step].tobytes() for k in filled]})
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(step, np.dtype(dtype))
-        for part in group["part"]:
-            total += np.frombuffer(part, np.dtype(dtype))
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "part": [total.tobytes()]})
-
-    schema = "block long, part binary"
-    out = np.zeros(n, np.dtype(dtype))
-    for row in df.mapInPandas(partial, schema).groupBy("block").applyInPandas(add, schema).collect():  # n cells, whatever the input
-        out[row["block"] * step : (row["block"] + 1) * step] = np.frombuffer(row["part"], np.dtype(dtype))
-    return out
-
-
 def rarity(reps: DataFrame) -> np.ndarray:
     """Counts of all coordinate-value pairs in a sketch of 2**CELL_BITS cells."""
 
@@ -112,7 +90,7 @@ def rarity(reps: DataFrame) -> np.ndarray:
         t = _tokens(_matrix(batch["sig"])).ravel()
         total += np.bincount((t >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total)).astype(total.dtype)
 
-    return _grid(reps.select("sig"), cells, 1 << CELL_BITS, "int64")
+    return add_up(reps.select("sig"), cells, 1 << CELL_BITS, "int64")
 
 
 def postings(reps: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -134,19 +112,11 @@ def postings(reps: DataFrame, counts: np.ndarray) -> DataFrame:
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids with 100 * |intersection| >= percent * |union|, on full sets."""
     spark = docs.sparkSession
-    mixed = lambda ids: (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MAP_BITS)
-
-    def cells(total, batch):
-        for c in ("a", "b"):
-            total[mixed(batch[c].to_numpy()).astype(np.int64)] = 1
-
-    wanted = spark.sparkContext.broadcast(np.packbits(_grid(pairs, cells, 1 << MAP_BITS, "uint8") > 0))
+    wanted = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cell = mixed(batch["doc_id"].to_numpy().astype(np.int64))
-            hit = (wanted.value[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7))).astype(np.uint8)) & 1
-            batch = batch[hit.astype(bool)]
+            batch = batch[in_bitmap(wanted.value, batch["doc_id"].to_numpy().astype(np.int64))]
             for k0 in range(0, len(batch), 512):
                 part = batch.iloc[k0 : k0 + 512]
                 found = [np.unique(s).tobytes() for s in shingles(*words(_texts(part)), k)]

@@ -17,6 +17,24 @@ def op5_url_filters(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    from quern.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark, sf_dir):
+    from quern.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark, sf_dir):
+    from quern.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark, sf_dir):
     from quern.llm.chat import format_chats
 
@@ -24,7 +42,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_url_filters, op10_chat_formatting)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_url_filters, op6_benchmark_decontamination, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
 
 
 def oracle_sql():
