@@ -5,6 +5,12 @@ from __future__ import annotations
 from quern.session import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    from quern.llm.lines import line_classes
+
+    return line_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     from quern.llm.near import near_duplicates
 
@@ -42,7 +48,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_url_filters, op6_benchmark_decontamination, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op5_url_filters, op6_benchmark_decontamination, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
 
 
 def oracle_sql():
