@@ -23,6 +23,7 @@ document each and share the component; a null doc_id is kept and stays alone, wi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,7 @@ SIZE, MATCHES = 64, 38
 PREFIX = SIZE - MATCHES + 1
 CELL_BITS = 18  # of the count sketch
 LIST_BLOCK = 2048
+_WEIGHT = np.uint64(1) << np.arange(SIZE, dtype=np.uint64)
 
 
 def _texts(batch: pd.DataFrame) -> list[bytes]:
@@ -109,61 +111,113 @@ def postings(reps: DataFrame, counts: np.ndarray) -> DataFrame:
     return reps.select("id", "sig").mapInPandas(run, "token long, coordinate int, id long, mask long")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids with 100 * |intersection| >= percent * |union|, on full sets."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+def alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that have enough matching coordinates and set sizes within the threshold's ratio."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            m, n = batch["m"].to_numpy(), batch["n"].to_numpy()
+            ok = (_matrix(batch["x"]) == _matrix(batch["y"])).sum(axis=1) >= MATCHES
+            yield batch.loc[ok & (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent), ["a", "b"]]
+
+    left = reps.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("sig").alias("x"))
+    right = reps.select(F.col("id").alias("b"), "n", F.col("sig").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """A sorted set of 64-bit hashes as 5 bytes each: their upper 40 bits."""
+    return np.ascontiguousarray((s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id and whole shingle set of the documents whose id is in ``ids`` (key), computed where the text is read."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[in_bitmap(wanted.value, batch["doc_id"].to_numpy().astype(np.int64))]
-            for k0 in range(0, len(batch), 512):
-                part = batch.iloc[k0 : k0 + 512]
-                found = [np.unique(s).tobytes() for s in shingles(*words(_texts(part)), k)]
+            for k0 in range(0, len(batch), 256):
+                part = batch.iloc[k0 : k0 + 256]
+                found = [_packed(np.unique(s)) for s in shingles(*words(_texts(part)), k)]
                 yield pd.DataFrame({"id": part["doc_id"].to_numpy().astype(np.int64), "shingles": found})
 
-    full = docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(sets, "id long, shingles binary")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "id long, shingles binary")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids with 100 * |intersection| >= percent * |union|, on full sets."""
+    left, right = (full_sets(docs, pairs.select(F.col(c).alias("key")), k).select(F.col("id").alias(c), F.col("shingles").alias(s))
+                   for c, s in (("a", "x"), ("b", "y")))
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((p, q))
+                both = np.concatenate((_unpacked(x), _unpacked(y)))
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
+                keep.append(100 * same >= percent * (len(both) - same))
             yield batch.loc[keep, ["a", "b"]]
 
-    joined = (
-        pairs.select("a", "b").join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        .join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    )
-    return joined.select("a", "b", "x", "y").mapInPandas(hold, "a long, b long").distinct()
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    return joined.mapInPandas(hold, "a long, b long").distinct()
 
 
-def _cross(group: pd.DataFrame) -> pd.DataFrame:
+def _cross(part: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one list from different components with enough matching coordinates and alike set sizes."""
-    out = []
-    group = group.sort_values("id")
-    sig, ids, comp = _matrix(group["sig"]), group["id"].to_numpy(), group["comp"].to_numpy()
-    mask, size, block = group["mask"].to_numpy().view(np.uint64), group["n"].to_numpy(), group["block"].to_numpy()
-    coordinate, i, j = np.uint64(group["coordinate"].iloc[0]), group["bi"].iloc[0], group["bj"].iloc[0]
-    weight = np.uint64(1) << np.arange(SIZE, dtype=np.uint64)
-    for p in range(len(ids)):
-        q = np.flatnonzero((comp != comp[p]) & (np.minimum(size, size[p]) * 100 >= np.maximum(size, size[p]) * group["percent"].iloc[0]))
-        q = q[(q > p) & ((block[q] != block[p]) if i != j else True)]
+    ids, comp, size, block = part["id"], part["comp"], part["n"], part["block"]
+    mask, sig = part["mask"].view(np.uint64), part["sig"]
+    bit, apart = np.uint64(1) << np.uint64(part["coordinate"][0]), part["bi"][0] != part["bj"][0]
+    left, right = [], []
+    for p in range(len(ids) - 1):
+        rest = slice(p + 1, None)
+        ok = (comp[rest] != comp[p]) & (np.minimum(size[rest], size[p]) * 100 >= np.maximum(size[rest], size[p]) * percent)
+        if apart:
+            ok &= block[rest] != block[p]
+        q = np.flatnonzero(ok) + p + 1
         if not len(q):
             continue
         same = sig[q] == sig[p]
-        q, same = q[enough := same.sum(axis=1) >= MATCHES], same[enough]
-        if len(q):
-            shared = (same * weight).sum(axis=1, dtype=np.uint64) & mask[q] & mask[p]
-            q = q[shared & (~shared + np.uint64(1)) == np.uint64(1) << coordinate]  # reported by the first shared list only
-            out.append((np.full(len(q), ids[p]), ids[q]))
-    if not out:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
+        enough = same.sum(axis=1) >= MATCHES
+        if enough.any():
+            q, same = q[enough], same[enough]
+            shared = (same * _WEIGHT).sum(axis=1, dtype=np.uint64) & mask[q] & mask[p]
+            q = q[shared & (~shared + np.uint64(1)) == bit]  # reported by the first shared list only
+            left.append(np.full(len(q), ids[p]))
+            right.append(ids[q])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _cross_lists(percent: int):
+    """A function over batches sorted by list; a list may run over into later batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not len(batch):
+                continue
+            both = batch if rest is None else rest if batch is None else pd.concat([rest, batch], ignore_index=True)
+            if both is None:
+                return
+            key = both[["token", "bi", "bj"]].to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(both)]))
+            last = len(starts) - 1 if batch is None else len(starts) - 2
+            column = {c: both[c].to_numpy() for c in both.columns if c != "sig"} | {"sig": _matrix(both["sig"])}
+            found = [_cross({c: v[starts[k] : starts[k + 1]] for c, v in column.items()}, percent)
+                     for k in range(last) if starts[k + 1] - starts[k] > 1]
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+            rest = both.iloc[starts[last] :]
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -179,10 +233,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     lists = materialise(posts.join(heads, "token"), "lists")
     release(spark, posts)
     stars = lists.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(confirm(docs, materialise(stars, "stars"), k, percent), "links")
+    links = materialise(confirm(docs, materialise(alike(stars, reps, percent), "stars"), k, percent), "links")
     first = connected_components(links)
     label = lists.join(first, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-    label = materialise(label, "labelled")
+    label = materialise(label.filter("id <> pivot"), "labelled")  # all pairs with the pivot are settled
     release(spark, lists)
     open_lists = label.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     blocks = F.expr(f"CAST(ceil(length / {LIST_BLOCK}.0) AS INT)")
@@ -191,10 +245,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .withColumn("block", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        .join(reps.select("id", "n", "sig"), "id").withColumn("percent", F.lit(percent))
+        .join(reps.select("id", "n", "sig"), "id")
     )
-    columns = ["token", "bi", "bj", "block", "coordinate", "id", "comp", "mask", "n", "sig", "percent"]
-    rest = rows.select(columns).groupBy("token", "bi", "bj").applyInPandas(_cross, "a long, b long").distinct()
+    columns = ["token", "bi", "bj", "block", "coordinate", "id", "comp", "mask", "n", "sig"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(columns).repartition(parts, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "id")
+    rest = dealt.mapInPandas(_cross_lists(percent), "a long, b long").distinct()
     more = materialise(confirm(docs, materialise(rest, "rest"), k, percent), "links")
     comps = connected_components(links.unionByName(more))
     member = reps.select("d1", "d2", "n", "id").join(comps, "id", "left").select(
@@ -203,3 +259,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the smallest doc_id; of rows that repeat doc_id and text, one.
+
+    Rows without a doc_id stay.
+    """
+    # Both lists are written first: their size is then known, and Spark broadcasts only below its threshold.
+    found = near_duplicates(docs, k, percent)
+    dropped = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    repeated = materialise(docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 AND _id IS NOT NULL").select("_id"), "repeated")
+    kept = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, kept["doc_id"] == repeated["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, kept["doc_id"] == repeated["_id"], "left_anti").unionByName(once)
