@@ -153,5 +153,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the contaminated documents; rows without a doc_id stay."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct()
+    # Written first: its size is then known, and Spark broadcasts it only below its threshold.
+    bad = materialise(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
