@@ -17,6 +17,12 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op3_toxicity(spark, sf_dir):
+    from quern.llm.toxicity import judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op5_url_filters(spark, sf_dir):
     from quern.llm.urlrules import judge
 
@@ -48,7 +54,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op5_url_filters, op6_benchmark_decontamination, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_toxicity, op5_url_filters, op6_benchmark_decontamination, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
 
 
 def oracle_sql():
