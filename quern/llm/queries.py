@@ -23,6 +23,12 @@ def op3_toxicity(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op4_document_fingerprints(spark, sf_dir):
+    from quern.llm.fingerprint import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark, sf_dir):
     from quern.llm.urlrules import judge
 
@@ -54,7 +60,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_toxicity, op5_url_filters, op6_benchmark_decontamination, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_toxicity, op4_document_fingerprints, op5_url_filters, op6_benchmark_decontamination, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
 
 
 def oracle_sql():
