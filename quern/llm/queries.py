@@ -41,6 +41,12 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_extraction(spark, sf_dir):
+    from quern.llm.wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark, sf_dir):
     from quern.llm.langid import identify
 
@@ -60,7 +66,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_toxicity, op4_document_fingerprints, op5_url_filters, op6_benchmark_decontamination, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_toxicity, op4_document_fingerprints, op5_url_filters, op6_benchmark_decontamination, op7_html_extraction, op8_language_id, op9_best_fit_packing, op10_chat_formatting)}
 
 
 def oracle_sql():
