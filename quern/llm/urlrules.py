@@ -4,7 +4,7 @@ Labelled outcomes of pages are shrunk through a chain of beta-binomial priors, s
 domain -> host. The strength of each level's prior is estimated from the spread of that level's own
 rates (method of moments), so a level whose members behave alike shrinks hard and one whose members
 differ shrinks little. A host is blocked when the lower posterior bound of its bad-page rate is above
-``threshold``; little evidence therefore never blocks.
+``threshold``. A host without labels is judged by what its domain and suffix, or all pages, let expect.
 
 Defined cases: a null url, or one without ``://``, has the empty host and path and is judged as host
 ``''``; labels with null ``quality`` and null ``toxic`` are no evidence; repeated labels count as often
