@@ -101,6 +101,10 @@ ORACLES = {
     "bm25_idf_only": _ctes(DOCS, TOKENS, POSTS, STATS, TOPIC, _scores("luc", 1.2, 0.75, 1.0)) + "SELECT * FROM luc WHERE rank <= 10",
     "bm25_explain": _ctes(*BASE) + "SELECT t.qid, t.doc_id, lex.rank, term, tf, df, round(t.score, 6) AS score, round(t.score / lex.score, 4) AS share FROM lex_t t JOIN lex USING (qid, doc_id) WHERE rank <= 10",
     "term_bounds": _ctes(DOCS, TOKENS, POSTS, STATS) + "SELECT term, count(*) AS df, max(tf) AS max_tf, min(dl) AS min_dl, round(max(tf / (0.9 * (0.6 + 0.4 * dl / avgdl))), 6) AS max_gain FROM posts, stats GROUP BY term",
+    "highlight_merge": _ctes(UI, "s AS (SELECT session_id AS id, doc_id AS start, doc_id + doc_id % 7 + 1 AS stop FROM ui)",
+                             "f AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < start AS fresh FROM s)",
+                             "g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM f)")
+    + 'SELECT id, min(start) AS start, max(stop) AS "end" FROM g GROUP BY id, island',
     "knn_exact": _ctes(_knn("nn", DOT, "a.vec_id % 100 = 0")) + "SELECT * FROM nn WHERE rank <= 10",
     "knn_l2": _ctes(_knn("nn", "-list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))", "a.vec_id % 100 = 0")) + "SELECT * FROM nn WHERE rank <= 10",
     "medoid": "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM e GROUP BY i) SELECT vec_id, round(sum((x - m) * (x - m)), 6) AS distance FROM e JOIN m USING (i) GROUP BY vec_id ORDER BY distance, vec_id LIMIT 1",

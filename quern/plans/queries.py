@@ -20,6 +20,7 @@ from quern.operators import experiments as ex
 from quern.operators import fusion as fu
 from quern.operators import learning as le
 from quern.operators import lexical as lx
+from quern.operators import lucene as lu
 from quern.operators import suggest as su
 from quern.operators import vector as ve
 from quern.session import table
@@ -141,6 +142,24 @@ def bm25_sharded(spark, sf):
     return fu.merge_top_k(local, 10).select("qid", "doc_id", "rank", "score")
 
 
+@query
+def bm25_lucene(spark, sf):
+    return lu.bm25_exact(corpus(spark, sf), topics(spark, sf), 10)
+
+
+@query
+def snippets(spark, sf):
+    return lu.snippets(lu.bm25_exact(corpus(spark, sf), topics(spark, sf), 10), corpus(spark, sf), topics(spark, sf)).select(
+        "qid", "doc_id", "rank", "snippet", F.size("highlights").alias("n_highlights"))
+
+
+@query
+def highlight_merge(spark, sf):
+    """Merged spans of made-up highlights: one of 1 + k % 7 characters at every event's k, by user."""
+    e = ui_events(spark, sf).select(F.col("session_id").alias("id"), F.col("doc_id").alias("start"), (F.col("doc_id") + F.col("doc_id") % 7 + 1).alias("end"))
+    return lu.merge_spans(e)
+
+
 # Vectors
 
 def _asked(spark, sf) -> DataFrame:
