@@ -92,3 +92,56 @@ def hard_negatives(lexical: DataFrame, dense: DataFrame, qrels: DataFrame, depth
     )
     false_negative = (F.col("d") - F.col("d_best") >= dense_margin) & (F.col("l") - F.col("l_best") >= lexical_margin * F.abs("l_best"))
     return scored.filter(~F.coalesce(false_negative, F.lit(False))).select("qid", "doc_id", "source")
+
+
+def harvest_ratios(shown: DataFrame) -> DataFrame:
+    """Rank pairs with their click-rate log ratio and weight, from documents that two rankers show at different ranks.
+
+    ``shown``: logger, qid, doc_id, rank, clicks, sessions. Such a document is equally relevant at both ranks, so the
+    ratio of its click rates is the ratio of the ranks' examination.
+    """
+    a = shown.select("qid", "doc_id", F.col("logger").alias("la"), F.col("rank").alias("r"), "clicks", "sessions")
+    b = shown.select("qid", "doc_id", F.col("logger").alias("lb"), F.col("rank").alias("s"))
+    met = a.join(b, ["qid", "doc_id"]).filter("la <> lb AND r <> s").groupBy("r", "s").agg(F.sum("clicks").alias("c"), F.sum("sessions").alias("n"))
+    back = met.select(F.col("s").alias("r"), F.col("r").alias("s"), F.col("c").alias("c2"), F.col("n").alias("n2"))
+    both = met.join(back, ["r", "s"]).filter("r < s AND c > 0 AND c2 > 0 AND n > 0 AND n2 > 0")
+    return both.select("r", "s", F.round(F.log(F.col("c") / F.col("n")) - F.log(F.col("c2") / F.col("n2")), 6).alias("log_ratio"), F.round(1.0 / (1.0 / F.col("c") + 1.0 / F.col("c2")), 6).alias("weight"))
+
+
+def harvest_fit(ratios: DataFrame, ranks: int, floor: float = 1e-3) -> np.ndarray:
+    """Examination by rank, eta_1 = 1: weighted least squares on at most ranks^2 / 2 log ratios; ranks without any are nan."""
+    found = ratios.filter((F.col("r") <= ranks) & (F.col("s") <= ranks)).toPandas()
+    known = sorted({1, *found["r"], *found["s"]})
+    place = {r: i for i, r in enumerate(known)}
+    x = np.zeros((len(found), len(known)))
+    x[np.arange(len(found)), [place[r] for r in found["r"]]] = 1
+    x[np.arange(len(found)), [place[r] for r in found["s"]]] = -1
+    w = np.sqrt(found["weight"].to_numpy())
+    out = np.full(ranks, np.nan)
+    solved = np.linalg.lstsq(x[:, 1:] * w[:, None], found["log_ratio"].to_numpy() * w, rcond=None)[0] if len(found) else np.zeros(len(known) - 1)
+    for r, v in zip(known, [0.0, *solved], strict=True):
+        out[r - 1] = max(np.exp(v), floor)
+    return out
+
+
+def sampled_subset(collection: DataFrame, qrels: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """All judged-relevant documents and as many others, by seeded hash, as fill ``size``: the same subset on every run."""
+    positive = qrels.filter("grade > 0").select("doc_id").distinct()
+    keep = collection.join(positive, "doc_id", "left_semi")
+    rest = collection.join(positive, "doc_id", "left_anti").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max(size - keep.count(), 0))
+    return keep.unionByName(rest)
+
+
+def training_groups(mined: DataFrame, size: int = 8, seed: int = 1, step: int = 0) -> DataFrame:
+    """qid, doc_id, slot, label: one positive and size - 1 negatives a query, drawn by a hash of (seed, step); hard negatives first.
+
+    ``mined``: qid, doc_id, source (positive, lexical, dense, random). A document that is a positive is never a negative.
+    """
+    positive = mined.filter("source = 'positive'")
+    negative = mined.filter("source <> 'positive'").join(positive.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    draw = F.xxhash64(F.lit(seed), F.lit(step), "qid", "doc_id")
+    one = positive.withColumn("i", F.row_number().over(W.partitionBy("qid").orderBy(draw, "doc_id"))).filter("i = 1").select("qid", "doc_id", F.lit(0).alias("slot"), F.lit(1).alias("label"))
+    unique = negative.groupBy("qid", "doc_id").agg(F.min((F.col("source") == "random").cast("int")).alias("late"))
+    order = W.partitionBy("qid").orderBy("late", draw, "doc_id")
+    others = unique.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") < size).select("qid", "doc_id", "slot", F.lit(0).alias("label"))
+    return one.unionByName(others.join(one.select("qid"), "qid", "left_semi"))

@@ -105,6 +105,24 @@ ORACLES = {
                              "f AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < start AS fresh FROM s)",
                              "g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM f)")
     + 'SELECT id, min(start) AS start, max(stop) AS "end" FROM g GROUP BY id, island',
+    "harvest_ratios": _ctes(UI, "e AS (SELECT *, event_id % 2 AS logger FROM ui WHERE type IN ('impression', 'click'))",
+                            "p AS (SELECT logger, doc_id, CASE WHEN logger = 0 THEN doc_id % 10 + 1 ELSE doc_id % 7 + 1 END AS rank, count(*) FILTER (type = 'click') AS clicks, count(*) AS sessions FROM e GROUP BY ALL)",
+                            "m AS (SELECT a.rank AS r, b.rank AS s, sum(a.clicks) AS c, sum(a.sessions) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.logger <> b.logger AND a.rank <> b.rank GROUP BY ALL)")
+    + "SELECT x.r, x.s, round(ln(x.c / x.n) - ln(y.c / y.n), 6) AS log_ratio, round(1 / (1 / x.c + 1 / y.c), 6) AS weight FROM m x JOIN m y ON x.r = y.s AND x.s = y.r WHERE x.r < x.s AND x.c > 0 AND y.c > 0",
+    "degradation_plan": """WITH q AS (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(value, 0) AS v FROM events),
+r AS (SELECT *, k % 2 = 0 AND k % 11 > 0 AND k % 13 > 0 AS d, k % 3 > 0 AND k % 17 > 0 AS rr, CASE WHEN k > 95 THEN 3 WHEN k > 75 THEN 2 WHEN k > 50 THEN 1 ELSE 0 END AS f, v * 4 AS rem, k % 29 = 0 AS probe FROM q),
+c AS (SELECT *, CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN d THEN v * 0.9 ELSE v * 0.3 END + CASE WHEN rr THEN v * 3.0 ELSE 0 END + 2 AS c0,
+      CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN d THEN v * 0.9 ELSE v * 0.3 END + 2 AS c1, CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN d THEN v * 0.5 ELSE v * 0.3 END + 2 AS c2 FROM r),
+l AS (SELECT *, CASE WHEN f <= 0 AND (probe OR c0 <= rem) THEN 0 WHEN f <= 1 AND (probe OR c1 <= rem) THEN 1 WHEN f <= 2 AND (probe OR c2 <= rem) THEN 2 ELSE 3 END AS level FROM c)
+SELECT level, d AND level < 3 AS use_dense, d AND level = 2 AS shrink_beam, rr AND level < 1 AS use_rerank, k % 5 > 0 OR NOT (d AND level < 3) AS use_lexical, count(*) AS n FROM l GROUP BY ALL""",
+    "rolling_latency": "SELECT start, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM (SELECT value, unnest(list_transform(range(6), lambda i: time_bucket(INTERVAL 10 SECOND, ts) - i::INT * INTERVAL 10 SECOND)) AS start FROM events WHERE value IS NOT NULL) GROUP BY start",
+    "dwell_times": _ctes(UI) + "SELECT session_id, event_id, dwell_us FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id)) - epoch_us(ts) AS dwell_us FROM ui) WHERE type = 'click'",
+    "abandoned_pages": _ctes(UI, PAGES) + "SELECT request_id FROM pages_ WHERE clicks = 0",
+    "availability": "WITH q AS (SELECT event_type AS phase, CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(value, 0) AS v FROM events) SELECT phase, count(*) AS requests, round(avg((k % 10 = 0)::INT), 6) AS error_rate, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.99), 6) AS p99, "
+    "round(sum((k % 10 <> 0 AND k % 4 - 2 > 0)::INT) / count(*)::DOUBLE, 6) AS degraded_rate, round(avg(CASE WHEN k % 10 <> 0 AND k % 3 > 0 THEN 1.0::DOUBLE / (k % 10 + 1) ELSE 0 END), 6) AS mrr FROM q GROUP BY phase",
+    "score_agreement": _ctes(*BASE, _scores("luc", 1.2, 0.75, 1.0), "j AS (SELECT x.score AS x, y.score * 1.9 AS y FROM (SELECT * FROM lex WHERE rank <= 10) x FULL JOIN (SELECT * FROM luc WHERE rank <= 10) y USING (qid, doc_id))")
+    + "SELECT count(x + y) AS pairs, count(x) - count(x + y) AS only_a, count(y) - count(x + y) AS only_b, count(*) FILTER (abs(round(x, 4) - round(y, 4)) <= 0.000101) AS within, round(max(abs(round(x, 4) - round(y, 4))), 6) AS largest FROM j",
+    "document_shards": "SELECT doc_id % 4 AS shard, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1",
     "knn_exact": _ctes(_knn("nn", DOT, "a.vec_id % 100 = 0")) + "SELECT * FROM nn WHERE rank <= 10",
     "knn_l2": _ctes(_knn("nn", "-list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))", "a.vec_id % 100 = 0")) + "SELECT * FROM nn WHERE rank <= 10",
     "medoid": "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM e GROUP BY i) SELECT vec_id, round(sum((x - m) * (x - m)), 6) AS distance FROM e JOIN m USING (i) GROUP BY vec_id ORDER BY distance, vec_id LIMIT 1",

@@ -21,6 +21,7 @@ from quern.operators import fusion as fu
 from quern.operators import learning as le
 from quern.operators import lexical as lx
 from quern.operators import lucene as lu
+from quern.operators import serving as sv
 from quern.operators import suggest as su
 from quern.operators import vector as ve
 from quern.session import table
@@ -478,6 +479,71 @@ def hard_negatives(spark, sf):
     return le.hard_negatives(lexical_run(spark, sf), dense_run(spark, sf), judgements(spark, sf))
 
 
+@query
+def harvest_ratios(spark, sf):
+    """Examination ratios of two made-up rankers that show each clicked document at ranks k % 10 + 1 and k % 7 + 1."""
+    e = ui_events(spark, sf).filter("type IN ('impression', 'click')").withColumn("logger", F.pmod("event_id", F.lit(2)))
+    shown = e.withColumn("rank", F.when(F.col("logger") == 0, F.col("doc_id") % 10 + 1).otherwise(F.col("doc_id") % 7 + 1))
+    per = shown.groupBy("logger", F.lit("all").alias("qid"), "doc_id", "rank").agg(F.sum((F.col("type") == "click").cast("int")).alias("clicks"), F.count("*").alias("sessions"))
+    return le.harvest_ratios(per)
+
+
+@query
+def training_groups(spark, sf):
+    mined = le.hard_negatives(lexical_run(spark, sf), dense_run(spark, sf), judgements(spark, sf)).unionByName(
+        judgements(spark, sf).select("qid", "doc_id", F.lit("positive").alias("source")))
+    return le.training_groups(mined)
+
+
+# Serving logs
+
+def _requests(spark, sf):
+    """A request for each event: costs and states from its value and k."""
+    e, k, v = table(spark, sf, "events"), F.get_json_object("props", "$.k").cast("int"), F.coalesce("value", F.lit(0.0))
+    return e.select(
+        "event_id", (k % 2 == 0).alias("dense"), (k % 3 > 0).alias("rerank"), (k % 5 > 0).alias("lexical"), (k % 11 > 0).alias("encoder_ok"), (k % 13 > 0).alias("vectors_ok"),
+        (k % 17 > 0).alias("reranker_ok"), (v * 4).alias("remaining_ms"), sv.pressure_level(k, [50, 75, 95]).alias("pressure"), (k % 29 == 0).alias("probe"),
+        F.lit(8.0).alias("encode_ms"), (v * 0.9).alias("shard_full_ms"), (v * 0.5).alias("shard_shrunk_ms"), (v * 0.3).alias("shard_lexical_ms"), (v * 3.0).alias("rerank_ms"), F.lit(2.0).alias("fetch_ms"))
+
+
+@query
+def degradation_plan(spark, sf):
+    plan = sv.degradation_plan(_requests(spark, sf))
+    return plan.groupBy("level", "use_dense", "shrink_beam", "use_rerank", "use_lexical").agg(F.count("*").alias("n"))
+
+
+@query
+def rolling_latency(spark, sf):
+    return sv.rolling_latency(table(spark, sf, "events").filter("value IS NOT NULL").select("ts", F.col("value").alias("ms")))
+
+
+@query
+def dwell_times(spark, sf):
+    return sv.dwell(ui_events(spark, sf))
+
+
+@query
+def abandoned_pages(spark, sf):
+    return sv.abandoned(pages(spark, sf))
+
+
+@query
+def availability(spark, sf):
+    e, k = table(spark, sf, "events"), F.get_json_object("props", "$.k").cast("int")
+    return sv.availability(e.select(F.col("event_type").alias("phase"), F.when(k % 10 == 0, 503).otherwise(200).alias("status"), (k % 4 - 2).alias("degradation"),
+                                    F.coalesce("value", F.lit(0.0)).alias("latency_ms"), F.when(k % 3 > 0, k % 10 + 1).alias("first_relevant")))
+
+
+@query
+def score_agreement(spark, sf):
+    return sv.score_agreement(bm25_topk(spark, sf), bm25_idf_only(spark, sf).withColumn("score", F.col("score") * 1.9))
+
+
+@query
+def document_shards(spark, sf):
+    return corpus(spark, sf).groupBy(sv.shard_of(F.col("doc_id"), 4).alias("shard")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
 # Streams: memory sinks over all available files, equal to their batch twins
 
 def _stream(spark, sf):
