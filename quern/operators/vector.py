@@ -221,6 +221,14 @@ def build_graph(x: np.ndarray, degree: int = 16, width: int = 32, alpha: float =
     return graph, entry
 
 
+def reachable(graph: list[np.ndarray], entry: int) -> int:
+    """Nodes that a walk from the entry can reach."""
+    seen, edge = {entry}, [entry]
+    while edge:
+        edge = [int(j) for i in edge for j in graph[i] if j not in seen and not seen.add(int(j))]
+    return len(seen)
+
+
 def graph_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10, clusters: int = 4, overlap: int = 2, width: int = 64,
                  most: int = 20_000, seed: int = 0) -> DataFrame:
     """Partitioned graph index: every vector joins its ``overlap`` nearest clusters, each cluster builds a graph and answers.

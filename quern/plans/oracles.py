@@ -124,6 +124,7 @@ SELECT level, d AND level < 3 AS use_dense, d AND level = 2 AS shrink_beam, rr A
     + "SELECT count(x + y) AS pairs, count(x) - count(x + y) AS only_a, count(y) - count(x + y) AS only_b, count(*) FILTER (abs(round(x, 4) - round(y, 4)) <= 0.000101) AS within, round(max(abs(round(x, 4) - round(y, 4))), 6) AS largest FROM j",
     "document_shards": "SELECT doc_id % 4 AS shard, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1",
     "knn_exact": _ctes(_knn("nn", DOT, "a.vec_id % 100 = 0")) + "SELECT * FROM nn WHERE rank <= 10",
+    "knn_sharded": _ctes(_knn("nn", DOT, "a.vec_id % 100 = 0")) + "SELECT * FROM nn WHERE rank <= 10",
     "knn_l2": _ctes(_knn("nn", "-list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))", "a.vec_id % 100 = 0")) + "SELECT * FROM nn WHERE rank <= 10",
     "medoid": "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM e GROUP BY i) SELECT vec_id, round(sum((x - m) * (x - m)), 6) AS distance FROM e JOIN m USING (i) GROUP BY vec_id ORDER BY distance, vec_id LIMIT 1",
     "l2_normalise": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3::FLOAT)::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM e) SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x / s) * (x / s))), 6) AS norm, round(v[1] / s, 6) AS first FROM n",

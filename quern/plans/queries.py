@@ -22,6 +22,7 @@ from quern.operators import learning as le
 from quern.operators import lexical as lx
 from quern.operators import lucene as lu
 from quern.operators import serving as sv
+from quern.operators import simulation as si
 from quern.operators import suggest as su
 from quern.operators import vector as ve
 from quern.session import table
@@ -172,6 +173,16 @@ def knn_exact(spark, sf):
     return ve.knn_blocks(vectors(spark, sf), _asked(spark, sf), 10)
 
 
+@query
+def knn_sharded(spark, sf):
+    """Exact top k of four shards, merged: equals the global search."""
+    found = None
+    for shard in range(4):
+        part = ve.knn_blocks(vectors(spark, sf).filter(F.pmod("vec_id", F.lit(4)) == shard), _asked(spark, sf), 10)
+        found = part if found is None else found.unionByName(part)
+    return ve.merge_slices(found.drop("rank"), 10).select("qid", "vec_id", "rank", "score")
+
+
 @query
 def knn_l2(spark, sf):
     return ve.knn_blocks(vectors(spark, sf), _asked(spark, sf), 10, "l2")
@@ -495,6 +506,24 @@ def training_groups(spark, sf):
     return le.training_groups(mined)
 
 
+def _graded(spark, sf):
+    """The lexical run's top 10 as rankings numbered from 0, graded by the judgements."""
+    run = lexical_run(spark, sf, 10).join(judgements(spark, sf), ["qid", "doc_id"], "left").fillna(0, ["grade"])
+    return run.select("qid", "doc_id", "rank", "grade")
+
+
+@query
+def swap_simulation(spark, sf):
+    """Examination by rank, estimated from simulated swap interventions."""
+    return le.swap_propensity(si.swap_rates(si.swap_logs(spark, 20_000, _graded(spark, sf), share=0.5)))
+
+
+@query
+def noisy_rankers(spark, sf):
+    j = judgements(spark, sf)
+    return ev.ndcg(si.noisy_oracle(j, 0.5), j)
+
+
 # Serving logs
 
 def _requests(spark, sf):
