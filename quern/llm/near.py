@@ -12,7 +12,9 @@
    one component are done.
 4. In the remaining lists every pair from different components is counted with numpy inside the list
    (long lists in pairs of blocks); pairs with enough matching coordinates, each reported by one list
-   only, are confirmed on full sets and joined in. No list, partner or candidate is capped.
+   only, are confirmed on full sets and joined in. Against a component of more than ``LARGE`` members a
+   document is reported once and held against all members, both sides in blocks of whole sets. No list,
+   partner or candidate is capped.
 
 Sets are recomputed from the source text for candidates only, selected by a bitmap of fixed size.
 
@@ -41,6 +43,7 @@ SIZE, MATCHES = 64, 38
 PREFIX = SIZE - MATCHES + 1
 CELL_BITS = 18  # of the count sketch
 LIST_BLOCK = 2048
+LARGE, SET_BLOCK = 64, 128
 _WEIGHT = np.uint64(1) << np.arange(SIZE, dtype=np.uint64)
 
 
@@ -170,12 +173,17 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return joined.mapInPandas(hold, "a long, b long").distinct()
 
 
-def _cross(part: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one list from different components with enough matching coordinates and alike set sizes."""
+def _cross(part: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one list from different components with enough matching coordinates and alike set sizes.
+
+    Where the larger of the two components has more than LARGE members, (document, component) stands for all such
+    pairs and is flagged as a probe.
+    """
     ids, comp, size, block = part["id"], part["comp"], part["n"], part["block"]
     mask, sig = part["mask"].view(np.uint64), part["sig"]
     bit, apart = np.uint64(1) << np.uint64(part["coordinate"][0]), part["bi"][0] != part["bj"][0]
-    left, right = [], []
+    members = part["members"]
+    left, right, probe = [], [], []
     for p in range(len(ids) - 1):
         rest = slice(p + 1, None)
         ok = (comp[rest] != comp[p]) & (np.minimum(size[rest], size[p]) * 100 >= np.maximum(size[rest], size[p]) * percent)
@@ -190,10 +198,16 @@ def _cross(part: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
             q, same = q[enough], same[enough]
             shared = (same * _WEIGHT).sum(axis=1, dtype=np.uint64) & mask[q] & mask[p]
             q = q[shared & (~shared + np.uint64(1)) == bit]  # reported by the first shared list only
-            left.append(np.full(len(q), ids[p]))
-            right.append(ids[q])
+            to_p = (members[p] > members[q]) | ((members[p] == members[q]) & (comp[p] < comp[q]))
+            large = np.where(to_p, members[p], members[q]) > LARGE
+            left += [np.full((~large).sum(), ids[p]), np.where(to_p, ids[q], ids[p])[large]]
+            right += [ids[q[~large]], np.where(to_p, comp[p], comp[q])[large]]
+            probe += [np.zeros((~large).sum(), bool), np.ones(large.sum(), bool)]
     none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    if not left:
+        return none, none, none.astype(bool)
+    found = np.unique(np.column_stack((np.concatenate(left), np.concatenate(right), np.concatenate(probe))), axis=0)
+    return found[:, 0], found[:, 1], found[:, 2].astype(bool)
 
 
 def _cross_lists(percent: int):
@@ -214,12 +228,50 @@ def _cross_lists(percent: int):
             found = [_cross({c: v[starts[k] : starts[k + 1]] for c, v in column.items()}, percent)
                      for k in range(last) if starts[k + 1] - starts[k] > 1]
             if found:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+                yield pd.DataFrame({c: np.concatenate([f[j] for f in found]) for j, c in enumerate(("a", "b", "probe"))})
             rest = both.iloc[starts[last] :]
 
     return run
 
 
+def confirm_blocks(docs: DataFrame, probes: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links (a, b) between each probing document (a, comp) and any member (id, comp) of its component.
+
+    Both sides travel as blocks of about SET_BLOCK whole sets, so a component of m members and n probes meets in
+    m * n / SET_BLOCK**2 rows; a probe is counted against a whole block at once.
+    """
+    asked = materialise(probes.distinct(), "probes")
+    targets = asked.select("comp").distinct()
+    held = members.join(targets, "comp", "left_semi")
+    sides = []
+    for rows, key in ((asked.select(F.col("a").alias("id"), "comp"), "probe"), (held.select("id", "comp"), "member")):
+        size = rows.groupBy("comp").agg(F.count("*").alias("rows"))
+        placed = rows.join(size, "comp").withColumn("block", F.expr(f"pmod(xxhash64(id), CAST(ceil(rows / {SET_BLOCK}.0) AS BIGINT))"))
+        sets = full_sets(docs, rows.select(F.col("id").alias("key")), k)
+        sides.append(placed.join(sets, "id").groupBy("comp", "block").agg(F.collect_list(F.struct("id", "shingles")).alias(key)).drop("block"))
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            left, right = [], []
+            for probe, member in zip(batch["probe"], batch["member"], strict=True):
+                sets = [_unpacked(m["shingles"]) for m in member]
+                ids, size = np.array([m["id"] for m in member]), np.array([len(s) for s in sets])
+                values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], owner[order]
+                for p in probe:
+                    own = _unpacked(p["shingles"])
+                    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                    same = np.bincount(owner[own[at] == values], minlength=len(sets))
+                    hit = 100 * same >= percent * (size + len(own) - same)
+                    left += [p["id"]] * int(hit.sum())
+                    right += ids[hit].tolist()
+            yield pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+
+    met = sides[0].join(sides[1], "comp").select("probe", "member")
+    return met.mapInPandas(hold, "a long, b long").filter("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -239,19 +291,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     label = materialise(label.filter("id <> pivot"), "labelled")  # all pairs with the pivot are settled
     release(spark, lists)
     open_lists = label.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    sizes = first.groupBy(F.col("component_id").alias("comp")).agg(F.count("*").alias("members"))
     blocks = F.expr(f"CAST(ceil(length / {LIST_BLOCK}.0) AS INT)")
     rows = (
         label.join(open_lists, "token", "left_semi").withColumn("blocks", blocks)
         .withColumn("block", F.expr("CAST(pmod(xxhash64(id), blocks) AS INT)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        .join(reps.select("id", "n", "sig"), "id")
+        .join(reps.select("id", "n", "sig"), "id").join(sizes, "comp", "left").fillna(1, ["members"])
     )
-    columns = ["token", "bi", "bj", "block", "coordinate", "id", "comp", "mask", "n", "sig"]
+    columns = ["token", "bi", "bj", "block", "coordinate", "id", "comp", "members", "mask", "n", "sig"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(columns).repartition(parts, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "id")
-    rest = dealt.mapInPandas(_cross_lists(percent), "a long, b long").distinct()
-    more = materialise(confirm(docs, materialise(rest, "rest"), k, percent), "links")
+    rest = materialise(dealt.mapInPandas(_cross_lists(percent), "a long, b long, probe boolean"), "rest")
+    pairs = confirm(docs, materialise(rest.filter("NOT probe").select("a", "b").distinct(), "pairs"), k, percent)
+    probes = rest.filter("probe").select("a", F.col("b").alias("comp"))
+    held = confirm_blocks(docs, probes, first.select("id", F.col("component_id").alias("comp")), k, percent)
+    more = materialise(pairs.unionByName(held), "links")
     comps = connected_components(links.unionByName(more))
     member = reps.select("d1", "d2", "n", "id").join(comps, "id", "left").select(
         "d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("class_id"))
