@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quern.functions.storage import materialise, release
 from quern.llm.components import connected_components
 
-SHINGLE, HASHES, ROWS, ENOUGH = 10, 16, 2, 7
+SHINGLE, HASHES, ROWS, ENOUGH = 10, 16, 2, 8
 _MASK = (1 << 31) - 1
 _rng = random.Random(11)
 _PERMUTATIONS = [(_rng.getrandbits(30) * 2 + 1, _rng.getrandbits(31)) for _ in range(HASHES)]
@@ -41,14 +41,14 @@ def _units(line: Column) -> Column:
 
 
 _LAST = f"greatest(CAST(length(units) / 2 AS INT) - {SHINGLE}, 0)"
-_ONE = f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE}))"
+_CUT = f"substring(units, 2 * i + 1, {2 * SHINGLE})"
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """lid and its minima m0.. under the permutations."""
     shingles = (
         lines.select("lid", _units(F.col("line")).alias("units")).select("lid", "units", F.explode(F.expr(f"sequence(0, {_LAST})")).alias("i"))
-        .select("lid", F.expr(f"{_ONE} & {_MASK}L").alias("x"))
+        .select("lid", F.expr(f"xxhash64({_CUT}) & {_MASK}L").alias("x"))
     )
     low = [F.min(F.expr(f"CAST((x * {a}L + {b}L) & {_MASK}L AS INT)")).alias(f"m{j}") for j, (a, b) in enumerate(_PERMUTATIONS)]
     return shingles.groupBy("lid").agg(*low)
@@ -63,16 +63,25 @@ def _matches(left: str, right: str) -> Column:
 
 
 def verify(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of line ids whose full shingle sets reach the similarity."""
+    """The pairs (a, b) of line ids whose full shingle sets reach the similarity.
+
+    A set is held as 32-bit hashes of all its shingles (two lines of 300 shingles meet by chance in one of 50,000
+    pairs). Set sizes settle pairs that cannot reach the similarity before any set is moved.
+    """
+    spark = lines.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     texts = lines.select("lid", "line").join(ids, "lid", "left_semi").groupBy("lid").agg(F.min("line").alias("line"))
     sets = materialise(texts.select("lid", _units(F.col("line")).alias("units")).select(
-        "lid", F.expr(f"array_distinct(transform(sequence(0, {_LAST}), i -> {_ONE}))").alias("s")), "line-sets")
-    joined = pairs.join(sets.select(F.col("lid").alias("b"), F.col("s").alias("y")), "b").join(
+        "lid", F.expr(f"array_distinct(transform(sequence(0, {_LAST}), i -> hash({_CUT})))").alias("s")).withColumn("n", F.size("s")), "line-sets")
+    size = lambda lid, n: sets.select(F.col("lid").alias(lid), F.col("n").alias(n))
+    able = materialise(pairs.join(size("b", "ny"), "b").join(size("a", "nx"), "a").filter(
+        100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")), "line-able")
+    joined = able.join(sets.select(F.col("lid").alias("b"), F.col("s").alias("y")), "b").join(
         sets.select(F.col("lid").alias("a"), F.col("s").alias("x")), "a")
     both = joined.withColumn("same", F.size(F.array_intersect("x", "y")))
-    found = materialise(both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b"), "line-links")
-    release(lines.sparkSession, sets)
+    found = materialise(both.filter(100 * F.col("same") >= percent * (F.col("nx") + F.col("ny") - F.col("same"))).select("a", "b"), "line-links")
+    for frame in (sets, able):
+        release(spark, frame)
     return found
 
 
