@@ -3,7 +3,7 @@
 1. Every text becomes its set of distinct word shingles (64-bit hashes) and a signature of ``SIZE``
    universal hash permutations. Equal sets collapse to one representative, the smallest doc_id.
 2. Representatives are posted under coordinate-value pairs. Two sets at the threshold agree in at least
-   ``MATCHES`` of ``SIZE`` coordinates (but for about one pair in a million at exactly 0.8), so they
+   ``MATCHES`` of ``SIZE`` coordinates (but for 4 pairs in 100,000 at exactly 0.8, fewer above), so they
    share one of any SIZE-MATCHES+1 pairs: each set is posted only under that many of its rarest pairs
    (prefix), and the long lists of common pairs are never merged (skip). Rarity comes from a count
    sketch of fixed size over all signatures, which gives all sets the same order at any input size.
