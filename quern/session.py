@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -29,7 +30,12 @@ def get_session(app: str = "quern", cpus: int | str = "*", shuffle_partitions: i
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers of this host import the package; a cluster gets it by ``--py-files`` or installation."""
+    """Let Python workers of this host import the package; a cluster gets it by ``--py-files`` or installation.
+
+    Rows are whole documents, so Arrow batches are kept to a thousand rows: a worker keeps the memory of its largest batch.
+    """
+    if int(spark.conf.get(BATCH)) > 1000:
+        spark.conf.set(BATCH, "1000")
     known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
