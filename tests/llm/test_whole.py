@@ -20,3 +20,12 @@ def test_pages_without_article_keep_their_text_on_a_mixed_host(spark):
     got = extracted(spark, pages)
     assert [got[100 + i] for i in range(3)] == [f"whole text {i}" for i in range(3)]
     assert all(got[i].endswith(f"word {i}") for i in range(60))
+
+
+def test_text_that_a_host_repeats_is_template(spark):
+    pages = [(i, "http://n.com/a", f"<div><p>Home News Sports</p></div><div><span>Subscribers only</span></div><section><p>Story {i}</p></section>") for i in range(20)]
+    pages += [(50 + i, "http://copies.com", "<div>One article, often crawled</div>") for i in range(9)]
+    pages += [(70, "http://rare.com", "<div>Home News Sports</div>")]
+    got = extracted(spark, pages)
+    assert all(got[i] == f"Story {i}" for i in range(20))
+    assert {got[50 + i] for i in range(9)} == {"One article, often crawled"} and got[70] == "Home News Sports"
