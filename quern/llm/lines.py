@@ -10,8 +10,8 @@ hold several components are joined with themselves for pairs across components,
 the choice of the first. One line of every component stays: the first by doc_id (nulls last) and line.
 
 Defined cases: null text has no lines; blank lines are never compared and always stay; a line shorter
-than a shingle is one shingle, so it matches only equal lines; rows that repeat a doc_id are one
-document's occurrence each, and equal (doc_id, line) occurrences are kept or dropped together.
+than a shingle is one shingle, so it matches only equal lines; rows that repeat a doc_id, null too, are told
+apart by a hash of their text, and rows equal in both are kept or dropped together.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ _PERMUTATIONS = [(_rng.getrandbits(30) * 2 + 1, _rng.getrandbits(31)) for _ in r
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (trimmed, lower-cased) and lid of every line that is not blank."""
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return raw.select("doc_id", "line_no", F.lower(F.trim("raw")).alias("line")).filter("line <> ''").withColumn("lid", F.xxhash64("line"))
+    """doc_id, row (a hash of the text, tells rows of one doc_id apart), line_no (from 0), line (trimmed, lower-cased) and lid of every line that is not blank."""
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    return raw.select("doc_id", "row", "line_no", F.lower(F.trim("raw")).alias("line")).filter("line <> ''").withColumn("lid", F.xxhash64("line"))
 
 
 def _units(line: Column) -> Column:
@@ -118,10 +118,15 @@ def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     (first_doc_id, first_line_no) is the occurrence that stays for the line's component.
     """
+    return _row_classes(docs, percent).drop("row")
+
+
+def _row_classes(docs: DataFrame, percent: int) -> DataFrame:
+    """:func:`line_classes` with the row of each line."""
     lines = split_lines(docs)
     classes = materialise(line_components(lines, percent), "line-classes")
-    seen = materialise(lines.select("doc_id", "line_no", "lid"), "line-places")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    seen = materialise(lines.select("doc_id", "row", "line_no", "lid"), "line-places")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "row")
     firsts = seen.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
     named = firsts.join(classes.withColumnRenamed("id", "lid"), "lid", "left").withColumn("component_id", F.coalesce("component_id", "lid"))
     # Only lines with copies or links need the join; the others are their own first occurrence.
@@ -131,7 +136,7 @@ def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     target = member.join(best, "component_id").select("lid", "best")
     out = seen.join(target, "lid", "left").withColumn("best", F.coalesce("best", place))
     return out.select(
-        "doc_id", "line_no", F.expr("doc_id <=> best.doc_id AND line_no = best.line_no").alias("kept"),
+        "doc_id", "row", "line_no", F.expr("doc_id <=> best.doc_id AND line_no = best.line_no AND row = best.row").alias("kept"),
         F.col("best.doc_id").alias("first_doc_id"), F.col("best.line_no").alias("first_line_no"))
 
 
@@ -140,9 +145,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     A document that had lines and loses all of them is a copy of what stays elsewhere and is left out.
     """
-    dropped = line_classes(docs, percent).filter("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left")
+    dropped = _row_classes(docs, percent).filter("NOT kept").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
+    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_row"]), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     joined = joined.withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     kept = joined.filter(F.col("_gone").isNull() | (F.trim(F.replace("_new", F.lit("\n"), F.lit(" "))) != ""))

@@ -5,7 +5,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from quern.llm import wrappers
+from quern.llm import lines, wrappers
 
 PAGES = "page_id long, url string, html string"
 
@@ -29,3 +29,12 @@ def test_text_that_a_host_repeats_is_template(spark):
     got = extracted(spark, pages)
     assert all(got[i] == f"Story {i}" for i in range(20))
     assert {got[50 + i] for i in range(9)} == {"One article, often crawled"} and got[70] == "Home News Sports"
+
+
+def test_rows_of_one_doc_id_lose_lines_by_content(spark):
+    rows = [(1, "a line that stands elsewhere too"), (None, "a line that stands elsewhere too\nown line of the second"), (None, "nobody else has this line"),
+            (7, "a line that stands elsewhere too\nfirst of seven"), (7, "second row of seven\nits other line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.text for r in lines.dedup_lines(docs).collect())
+    assert got == sorted(["a line that stands elsewhere too", "own line of the second", "nobody else has this line", "first of seven", "second row of seven\nits other line"])
+    assert lines.line_classes(docs).columns == ["doc_id", "line_no", "kept", "first_doc_id", "first_line_no"]
