@@ -17,12 +17,12 @@ def query_counts(log: DataFrame) -> DataFrame:
     return log.filter("query <> ''").groupBy("query").agg(F.count("*").alias("n"))
 
 
-def completions(counts: DataFrame, k: int = 10, longest: int = 32) -> DataFrame:
-    """Top k queries under every prefix of up to ``longest`` characters, count descending then query: prefix, rank, query, n.
+def completions(counts: DataFrame, k: int = 10) -> DataFrame:
+    """Top k queries under every prefix, the empty and the whole query among them, count descending then query: prefix, rank, query, n.
 
     Prefixes are ranked with a pruned window, so a popular prefix sends k rows a task.
     """
-    prefixes = counts.select("query", "n", F.explode(F.expr(f"sequence(0, least(length(query), {longest}))")).alias("l"))
+    prefixes = counts.select("query", "n", F.explode(F.expr("sequence(0, length(query))")).alias("l"))
     keyed = prefixes.select(F.expr("substring(query, 1, l)").alias("prefix"), "query", "n")
     order = W.partitionBy("prefix").orderBy(F.desc("n"), "query")
     return keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("prefix", "rank", "query", "n")

@@ -320,7 +320,7 @@ def query_counts(spark, sf):
 
 @query
 def suggest_prefix(spark, sf):
-    return su.completions(su.query_counts(log_words(spark, sf)), k=5, longest=6)
+    return su.completions(su.query_counts(log_words(spark, sf)), k=5)
 
 
 def _spelling(spark, sf):
