@@ -127,7 +127,17 @@ def near_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tags.ravel()), pa.array(ids.astype(np.int64))], names=["band", "id"])
 
     posts = materialise(docs.filter("doc_id IS NOT NULL AND text <> ''").mapInArrow(run, "band long, id long"), "bands")
+    # First every member of a band is held against its smallest id, then members of different components against each other.
     heads = posts.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = posts.join(heads, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = materialise(confirm(docs, materialise(pairs, "band-pairs"), SHINGLE, percent), "band-links")
-    return connected_components(links)
+    pairs = materialise(posts.join(heads, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "band-pairs")
+    links = materialise(confirm(docs, pairs, SHINGLE, percent), "band-links")
+    first = connected_components(links)
+    label = materialise(
+        posts.join(first, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("comp")), "band-labels")
+    open_bands = label.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
+    rest = label.join(open_bands, "band", "left_semi")
+    one = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"))
+    two = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"))
+    cross = one.join(two, "band").filter("a < b AND ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialise(confirm(docs, materialise(cross, "band-pairs"), SHINGLE, percent), "band-links")
+    return connected_components(links.unionByName(more))
