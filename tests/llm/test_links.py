@@ -3,11 +3,12 @@
 import itertools
 import random
 import sys
+from math import comb
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from quern.llm import fingerprint
+from quern.llm import fingerprint, lines
 from test_units import components, make, word_set
 
 
@@ -25,3 +26,8 @@ def test_bands_link_members_that_their_smallest_does_not(spark):
     assert (60, 61) in pairs and (60, 62) in pairs
     want = components(pairs, sorted({x for p in pairs for x in p}))
     assert {r.id: r.component_id for r in fingerprint.near_classes(make(spark, texts)).collect()} == want
+
+
+def test_few_pairs_of_lines_are_lost_before_they_are_verified():
+    lost = sum(comb(16, k) * 0.8**k * 0.2 ** (16 - k) for k in range(lines.ENOUGH))
+    assert lost < 3e-4
