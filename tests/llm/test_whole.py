@@ -1,11 +1,12 @@
 """Cases where an operator once did less than its whole job."""
 
+import random
 import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from quern.llm import lines, wrappers
+from quern.llm import langid, lines, wrappers
 
 PAGES = "page_id long, url string, html string"
 
@@ -38,3 +39,27 @@ def test_rows_of_one_doc_id_lose_lines_by_content(spark):
     got = sorted(r.text for r in lines.dedup_lines(docs).collect())
     assert got == sorted(["a line that stands elsewhere too", "own line of the second", "nobody else has this line", "first of seven", "second row of seven\nits other line"])
     assert lines.line_classes(docs).columns == ["doc_id", "line_no", "kept", "first_doc_id", "first_line_no"]
+
+
+def test_language_models_hold_every_gram_in_any_number_of_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 600)]
+    rows = [(i, "".join(rng.choice(letters[: 300 + 300 * (i % 2)]) for _ in range(4000)), "ab"[i % 2]) for i in range(120)]
+    rows += [(500, None, None), (501, "", None), (502, "zzz " * 50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = docs.filter("doc_id < 120")
+    seen = train.transform(langid.gram_counts).filter("lang = 'a'").count()
+    assert seen > 200_000
+    got = []
+    for size in (1 << 40, 8 << 20):
+        monkeypatch.setattr(langid, "MODEL_BYTES", size)
+        model = langid.train_model(train)
+        if size == 1 << 40:
+            assert model.size == 1 and len(model.model(0).grams[4].hashes) > 400_000
+        else:
+            assert model.size > 1
+        got.append({r.doc_id: r for r in langid.predict(docs, model).collect()})
+    for i, r in got[0].items():
+        other = got[1][i]
+        assert (r.lang_pred, r.rejected) == (other.lang_pred, other.rejected)
+        assert abs(r.cross_entropy - other.cross_entropy) < 1e-5 and abs(r.score - other.score) < 1e-4
