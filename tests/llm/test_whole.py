@@ -63,3 +63,12 @@ def test_language_models_hold_every_gram_in_any_number_of_parts(spark, monkeypat
         other = got[1][i]
         assert (r.lang_pred, r.rejected) == (other.lang_pred, other.rejected)
         assert abs(r.cross_entropy - other.cross_entropy) < 1e-5 and abs(r.score - other.score) < 1e-4
+
+
+def test_calibration_reads_whole_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, "ab " * 7000 + "".join(rng.choice("cdefghij ") for _ in range(60_000)), "a") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train_model(docs)
+    whole = [r.cross_entropy for r in langid.predict(docs, model).collect()]
+    assert abs(model.mean[0] - sorted(whole)[1]) < 1e-9
