@@ -1,17 +1,23 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-Lines (text split at ``\\n``) are compared trimmed and lower-cased. Equal lines meet on a 64-bit hash. A
-line's set is its ``SHINGLE``-character shingles (UTF-16 units); ``HASHES`` universal hash permutations
-of the shingle hashes, as plain arithmetic minima inside one generated stage, make its signature and
-``HASHES / ROWS`` bands its postings: a pair at similarity 0.8 shares a band but for 3 in 10,000. In each band's bucket every
-line is held against the smallest line; pairs with enough matching coordinates are verified by the exact
-Jaccard similarity of their full sets and joined by the distributed union-find. Buckets that then still
-hold several components are joined with themselves for pairs across components, so no link is lost to
-the choice of the first. One line of every component stays: the first by doc_id (nulls last) and line.
-
-Defined cases: null text has no lines; blank lines are never compared and always stay; a line shorter
-than a shingle is one shingle, so it matches only equal lines; rows that repeat a doc_id, null too, are told
-apart by a hash of their text, and rows equal in both are kept or dropped together.
+Lines (text split at ``\\n``) are compared trimmed and lower-cased. Equal lines meet as text, once, before anything
+is computed from them; later steps name a line by a 64-bit hash, and lines that share one get another name. A line's
+set is its ``SHINGLE``-character shingles; ``HASHES`` universal hash permutations of the shingle hashes, as plain
+arithmetic minima inside one generated stage, make its signature and ``HASHES / ROWS`` bands its postings: a pair at
+similarity 0.8 shares a band but for 3 in 10,000.
+
+In each band's bucket every line is held against the smallest line; pairs with enough matching coordinates are
+verified by the exact Jaccard similarity of their shingles, as text, and joined by the distributed union-find. Buckets
+that still hold several components have their lines held against another line, up to ``TURNS`` times while that
+finds links for a share of ``WORTH`` of them. Of what is then open, the lines outside of one line's component are gathered
+into blocks of whole lines and held against all other lines of the bucket block by block, inside the row of two
+blocks; what leaves the row is the distinct pairs of linked components, so no bucket is met as pairs of rows and no
+link is lost to the choice of a pivot. One line of every component stays: the first by doc_id (nulls last) and line.
+
+Defined cases: null text has no lines; blank lines are never compared and always stay; a line shorter than a
+shingle is one shingle, so it matches only equal lines; rows that repeat a doc_id, null too, are told apart by a
+hash of their text, and rows equal in both are kept or dropped together; a line is held whole in a row's memory;
+columns of any other name pass through ``dedup_lines`` untouched.
 """
 
 from __future__ import annotations
@@ -25,33 +31,47 @@ from quern.functions.storage import materialise, release
 from quern.llm.components import connected_components
 
 SHINGLE, HASHES, ROWS, ENOUGH = 10, 16, 2, 7
+TURNS, WORTH = 5, 0.01
+BLOCK_LINES, BLOCK_CHARS, DEALT_BLOCKS, WORDS = 64, 1 << 16, 8, 16
 _MASK = (1 << 31) - 1
 _rng = random.Random(11)
 _PERMUTATIONS = [(_rng.getrandbits(30) * 2 + 1, _rng.getrandbits(31)) for _ in range(HASHES)]
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text, tells rows of one doc_id apart), line_no (from 0), line (trimmed, lower-cased) and lid of every line that is not blank."""
+    """doc_id, row (a hash of the text, tells rows of one doc_id apart), line_no (from 0) and line (trimmed, lower-cased) of every line that is not blank."""
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return raw.select("doc_id", "row", "line_no", F.lower(F.trim("raw")).alias("line")).filter("line <> ''").withColumn("lid", F.xxhash64("line"))
+    return raw.select("doc_id", "row", "line_no", F.lower(F.trim("raw")).alias("line")).filter("line <> ''")
 
 
-def _units(line: Column) -> Column:
-    return F.encode(line, "UTF-16BE")
+def _hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2")]
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """lid, h, h2, line of every different line; lid is h but for lines that share it."""
+    spark = lines.sparkSession
+    texts = materialise(lines.select("line").distinct().select("line", *_hashes()), "line-texts")
+    shared = materialise(texts.groupBy("h").count().filter("count > 1").select("h"), "line-shared")
+    if shared.isEmpty():
+        release(spark, shared)
+        return texts.withColumn("lid", F.col("h"))
+    other = texts.join(shared.select("h", F.lit(True).alias("again")), "h", "left")
+    return other.withColumn("lid", F.when(F.col("again"), F.xxhash64("h2", "h")).otherwise(F.col("h"))).drop("again")
 
 
 _LAST = f"greatest(CAST(length(units) / 2 AS INT) - {SHINGLE}, 0)"
 _CUT = f"substring(units, 2 * i + 1, {2 * SHINGLE})"
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """lid and its minima m0.. under the permutations."""
+def signatures(texts: DataFrame) -> DataFrame:
+    """lid, n (places where a shingle begins) and the minima m0.. under the permutations."""
     shingles = (
-        lines.select("lid", _units(F.col("line")).alias("units")).select("lid", "units", F.explode(F.expr(f"sequence(0, {_LAST})")).alias("i"))
+        texts.select("lid", F.encode("line", "UTF-16BE").alias("units")).select("lid", "units", F.explode(F.expr(f"sequence(0, {_LAST})")).alias("i"))
         .select("lid", F.expr(f"xxhash64({_CUT}) & {_MASK}L").alias("x"))
     )
     low = [F.min(F.expr(f"CAST((x * {a}L + {b}L) & {_MASK}L AS INT)")).alias(f"m{j}") for j, (a, b) in enumerate(_PERMUTATIONS)]
-    return shingles.groupBy("lid").agg(*low)
+    return shingles.groupBy("lid").agg(F.count("*").alias("n"), *low)
 
 
 def _sigs(prefix: str, signed: DataFrame, lid: str) -> DataFrame:
@@ -62,55 +82,121 @@ def _matches(left: str, right: str) -> Column:
     return sum(((F.col(f"{left}{j}") == F.col(f"{right}{j}")).cast("int") for j in range(HASHES)), F.lit(0))
 
 
-def verify(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of line ids whose full shingle sets reach the similarity.
+def _shingles(line: str) -> str:
+    """The shingles of a line, as text."""
+    return f"if(char_length({line}) < {SHINGLE}, array({line}), regexp_extract_all({line}, '(?s)(?=(.{{{SHINGLE}}}))', 1))"
+
+
+def _set(line: str) -> str:
+    return f"array_distinct({_shingles(line)})"
+
+
+def _alike(x: str, y: str, percent: int) -> str:
+    """Whether two sets reach the similarity; their sizes may settle it."""
+    n, m = f"size({x})", f"size({y})"
+    return (f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND "
+            f"{100 + percent} * size(array_intersect({x}, {y})) >= {percent} * ({n} + {m})")
 
-    A set is held as 32-bit hashes of all its shingles (two lines of 300 shingles meet by chance in one of 50,000
-    pairs). Set sizes settle pairs that cannot reach the similarity before any set is moved.
+
+def verify(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of line ids whose shingle sets reach the similarity. Only texts move; sets live within a row."""
+    one, two = (texts.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
+    joined = pairs.join(one, "a").join(two, "b")
+    # The lambda's argument is computed once a row, however often the test names it.
+    return joined.filter(F.expr(f"exists(array(struct({_set('line_a')} AS x, {_set('line_b')} AS y)), p -> {_alike('p.x', 'p.y', percent)})")).select("a", "b")
+
+
+def _held(percent: int) -> str:
+    """The distinct pairs of components that the lines of two blocks (l, r) of one bucket link.
+
+    The bits in which two parity sketches differ are never more than the shingles in which the sets differ, so they
+    only rule out pairs that do not reach the similarity; what is left is tested on the shingles.
     """
-    spark = lines.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    texts = lines.select("lid", "line").join(ids, "lid", "left_semi").groupBy("lid").agg(F.min("line").alias("line"))
-    sets = materialise(texts.select("lid", _units(F.col("line")).alias("units")).select(
-        "lid", F.expr(f"array_distinct(transform(sequence(0, {_LAST}), i -> hash({_CUT})))").alias("s")).withColumn("n", F.size("s")), "line-sets")
-    size = lambda lid, n: sets.select(F.col("lid").alias(lid), F.col("n").alias(n))
-    able = materialise(pairs.join(size("b", "ny"), "b").join(size("a", "nx"), "a").filter(
-        100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")), "line-able")
-    joined = able.join(sets.select(F.col("lid").alias("b"), F.col("s").alias("y")), "b").join(
-        sets.select(F.col("lid").alias("a"), F.col("s").alias("x")), "a")
-    both = joined.withColumn("same", F.size(F.array_intersect("x", "y")))
-    found = materialise(both.filter(100 * F.col("same") >= percent * (F.col("nx") + F.col("ny") - F.col("same"))).select("a", "b"), "line-links")
-    for frame in (sets, able):
+    bits = " + ".join(f"bit_count(x.o{j} ^ y.o{j})" for j in range(WORDS))
+    exact = f"{100 + percent} * size(array_intersect({_shingles('x.line')}, {_shingles('y.line')})) >= {percent} * (x.n + y.n)"
+    test = f"x.c <> y.c AND (apart OR x.lid < y.lid) AND {100 + percent} * ({bits}) <= {100 - percent} * (x.n + y.n) AND {exact}"
+    return f"array_distinct(flatten(transform(l, x -> transform(filter(r, y -> {test}), y -> struct(least(x.c, y.c) AS a, greatest(x.c, y.c) AS b)))))"
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """lid, line, n (its distinct shingles) and the parity sketch o0..: every shingle flips one of 64 * WORDS bits."""
+    each = texts.select("lid", F.explode(F.expr(_set("line"))).alias("shingle")).select("lid", F.xxhash64("shingle").alias("x"))
+    flip = [F.bit_xor(F.expr(f"if((x & {WORDS - 1}) = {j}, shiftleft(1L, CAST(shiftright(x, 8) & 63 AS INT)), 0L)")).alias(f"o{j}") for j in range(WORDS)]
+    return each.groupBy("lid").agg(F.count("*").alias("n"), *flip).join(texts.select("lid", "line"), "lid")
+
+
+def _bucket_pivots(label: DataFrame, turn: int) -> DataFrame:
+    """``label`` (band, lid, c) with one line of the bucket, another each turn, as pivot, and its component as own."""
+    flip = F.lit(random.Random(turn).getrandbits(63))
+    pivots = label.groupBy("band").agg(F.min(F.col("lid").bitwiseXOR(flip)).bitwiseXOR(flip).alias("pivot"))
+    own = label.select(F.col("lid").alias("pivot"), F.col("c").alias("own")).distinct()
+    return label.join(pivots.join(own, "pivot"), "band")
+
+
+def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """band, lid, c (component) of the buckets that hold several components."""
+    label = buckets.join(comps.select(F.col("id").alias("lid"), F.col("component_id").alias("c")), "lid", "left").select(
+        "band", "lid", F.coalesce("c", "lid").alias("c"))
+    still = label.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
+    return materialise(label.join(still, "band", "left_semi"), "line-open")
+
+
+def block_links(texts: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of components that the lines of a bucket link; ``label`` has band, lid, c."""
+    spark = texts.sparkSession
+    known = materialise(parities(texts.join(label.select("lid").distinct(), "lid", "left_semi")), "line-parities")
+    sided = _bucket_pivots(label, 0).select("band", "lid", "c", (F.col("c") == F.col("own")).alias("inside")).join(known, "lid")
+    sided = materialise(sided, "line-sided")
+    blocks = F.expr(f"CAST(ceil(greatest(count(*) / {BLOCK_LINES}, sum(char_length(line)) / {BLOCK_CHARS})) AS INT)")
+    sizes = sided.groupBy("band", "inside").agg(blocks.alias("blocks"))
+    placed = sided.join(sizes, ["band", "inside"]).withColumn("block", F.expr("CAST(pmod(xxhash64(lid), blocks) AS INT)"))
+    member = F.struct("lid", "c", "n", *[f"o{j}" for j in range(WORDS)], "line")
+    held = materialise(placed.groupBy("band", "inside", "block", "blocks").agg(F.collect_list(member).alias("lines")), "line-blocks")
+    # The blocks outside of the pivot's component are dealt to shares of DEALT_BLOCKS, which all blocks of the bucket visit.
+    outside = held.filter("NOT inside")
+    shares = outside.select("band", F.expr(f"CAST(ceil(blocks / {DEALT_BLOCKS}) AS INT)").alias("shares")).distinct()
+    left = outside.join(shares, "band").select("band", F.expr("pmod(block, shares)").alias("share"), F.col("block").alias("bl"), F.col("lines").alias("l"))
+    right = held.join(shares, "band").select(
+        "band", F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "inside", F.col("block").alias("br"), F.col("lines").alias("r"))
+    # By number: the rows are few and small, and each is a block's work, so they are not to be put together by size.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (side.repartition(parts, "band", "share") for side in (left, right))
+    met = left.join(right, ["band", "share"]).filter("inside OR br >= bl").select((F.col("inside") | (F.col("br") > F.col("bl"))).alias("apart"), "l", "r")
+    edges = materialise(met.select(F.inline(F.expr(_held(percent)))).distinct(), "line-edges")
+    for frame in (known, sided, held):
         release(spark, frame)
-    return found
+    return edges
 
 
-def line_components(lines: DataFrame, percent: int = 80) -> DataFrame:
-    """lid and component_id of every line that is linked with a different one."""
-    spark = lines.sparkSession
-    signed = materialise(signatures(lines), "line-sigs")
+def line_components(texts: DataFrame, percent: int = 80) -> DataFrame:
+    """id and component_id of every line of ``texts`` (lid, line) that is linked with a different one."""
+    spark = texts.sparkSession
+    signed = materialise(signatures(texts), "line-sigs")
     bands = [F.xxhash64(F.lit(j), *[f"m{j * ROWS + r}" for r in range(ROWS)]) for j in range(HASHES // ROWS)]
     posted = signed.select("lid", F.explode(F.array(*bands)).alias("band"))
-    heads = posted.groupBy("band").agg(F.count("*").alias("size"), F.min("lid").alias("pivot")).filter("size > 1")
+    heads = posted.groupBy("band").agg(F.count("*").alias("size"), F.min("lid").alias("pivot")).filter("size > 1").drop("size")
     buckets = materialise(posted.join(heads, "band").filter("lid <> pivot").select("band", "lid", "pivot"), "line-buckets")
-    stars = buckets.select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct()
-    alike = stars.join(_sigs("y", signed, "b"), "b").join(_sigs("x", signed, "a"), "a").filter(_matches("x", "y") >= ENOUGH).select("a", "b")
-    links = verify(lines, materialise(alike, "line-pairs"), percent)
-    first = connected_components(links)
-    # Pairs with a bucket's pivot are settled; what is open are members of different components.
-    label = materialise(
-        buckets.select("band", "lid").join(first.withColumnRenamed("id", "lid"), "lid", "left")
-        .select("band", "lid", F.coalesce("component_id", "lid").alias("comp")), "line-labels")
-    open_bands = label.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
-    rest = materialise(label.join(open_bands, "band", "left_semi").join(signed, "lid"), "line-open")
-    left = _sigs("x", rest, "a").columns
-    one = rest.select("band", F.col("comp").alias("ca"), *[F.col("lid" if c == "a" else "m" + c[1:]).alias(c) for c in left])
-    two = rest.select("band", F.col("comp").alias("cb"), F.col("lid").alias("b"), *[F.col(f"m{j}").alias(f"y{j}") for j in range(HASHES)])
-    cross = one.join(two, (one["band"] == two["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_matches("x", "y") >= ENOUGH))
-    more = verify(lines, materialise(cross.select("a", "b").distinct(), "line-pairs"), percent)
-    for frame in (signed, buckets, label, rest):
+    stars, comps = buckets.select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct(), None
+    for turn in range(1, TURNS + 2):
+        alike = materialise(stars.join(_sigs("y", signed, "b"), "b").join(_sigs("x", signed, "a"), "a").filter(_matches("x", "y") >= ENOUGH).select("a", "b"), "line-pairs")
+        links = materialise(verify(texts, alike, percent), "line-links")
+        release(spark, alike)
+        found = links.count()
+        if found:
+            comps = connected_components(links if comps is None else links.unionByName(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
+        elif comps is None:
+            comps = connected_components(links)
+        label = _open(buckets, comps)  # pairs with a bucket's first pivot are settled
+        left = label.count()
+        if turn > TURNS or not left or found < left * WORTH:
+            break
+        stars = _bucket_pivots(label, turn).filter("c <> own").select(F.least("pivot", "lid").alias("a"), F.greatest("pivot", "lid").alias("b")).distinct()
+    if left:
+        edges = block_links(texts, label, percent)
+        comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(edges))
+    for frame in (signed, buckets, label):
         release(spark, frame)
-    return connected_components(links.unionByName(more))
+    return comps
 
 
 def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -123,18 +209,21 @@ def line_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _row_classes(docs: DataFrame, percent: int) -> DataFrame:
     """:func:`line_classes` with the row of each line."""
+    spark = docs.sparkSession
     lines = split_lines(docs)
-    classes = materialise(line_components(lines, percent), "line-classes")
-    seen = materialise(lines.select("doc_id", "row", "line_no", "lid"), "line-places")
+    texts = distinct_lines(lines)
+    classes = materialise(line_components(texts, percent), "line-classes")
+    seen = materialise(lines.select("doc_id", "row", "line_no", *_hashes()), "line-places")
+    copies = seen.groupBy("h", "h2").agg(F.count("*").alias("copies"))
+    # Only lines with copies or links need a place chosen; the others are their own first occurrence.
+    shared = materialise(
+        texts.select("lid", "h", "h2").join(copies, ["h", "h2"]).join(classes.withColumnRenamed("id", "lid"), "lid", "left")
+        .filter("copies > 1 OR component_id IS NOT NULL").select("h", "h2", F.coalesce("component_id", "lid").alias("component_id")), "line-shared")
+    release(spark, texts)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "row")
-    firsts = seen.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    named = firsts.join(classes.withColumnRenamed("id", "lid"), "lid", "left").withColumn("component_id", F.coalesce("component_id", "lid"))
-    # Only lines with copies or links need the join; the others are their own first occurrence.
-    shared = named.filter("copies > 1 OR component_id <> lid").select("component_id").distinct()
-    member = named.join(shared, "component_id", "left_semi").select("lid", "component_id", "first")
-    best = member.groupBy("component_id").agg(F.min("first").alias("best"))
-    target = member.join(best, "component_id").select("lid", "best")
-    out = seen.join(target, "lid", "left").withColumn("best", F.coalesce("best", place))
+    best = seen.join(shared, ["h", "h2"]).groupBy("component_id").agg(F.min(place).alias("best"))
+    target = materialise(shared.join(best, "component_id").select("h", "h2", "best"), "line-firsts")
+    out = seen.join(target, ["h", "h2"], "left").withColumn("best", F.coalesce("best", place))
     return out.select(
         "doc_id", "row", "line_no", F.expr("doc_id <=> best.doc_id AND line_no = best.line_no AND row = best.row").alias("kept"),
         F.col("best.doc_id").alias("first_doc_id"), F.col("best.line_no").alias("first_line_no"))
@@ -145,11 +234,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     A document that had lines and loses all of them is a copy of what stays elsewhere and is left out.
     """
-    dropped = _row_classes(docs, percent).filter("NOT kept").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
-    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_row"]), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    joined = joined.withColumn("_new", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    kept = joined.filter(F.col("_gone").isNull() | (F.trim(F.replace("_new", F.lit("\n"), F.lit(" "))) != ""))
-    values = {"text": F.col("_new")} | ({"n_chars": F.length("_new").cast("long")} if "n_chars" in docs.columns else {})
-    return kept.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])
+    gone = _row_classes(docs, percent).filter("NOT kept").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
+    # The source row travels as one struct, so no column of it can clash.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("src"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = own.join(gone, own["id"].eqNullSafe(gone["doc_id"]) & (own["hash"] == gone["row"]), "left").select("src", "gone")
+    left = F.array_join(F.filter(F.split("src.text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    joined = joined.withColumn("new", F.when(F.col("gone").isNull(), F.col("src.text")).otherwise(left))
+    kept = joined.filter(F.col("gone").isNull() | (F.trim(F.replace("new", F.lit("\n"), F.lit(" "))) != ""))
+    values = {"text": F.col("new")} | ({"n_chars": F.length("new").cast("long")} if "n_chars" in docs.columns else {})
+    return kept.select(*[values.get(c, F.col(f"src.`{c}`")).alias(c) for c in docs.columns])
