@@ -12,10 +12,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in one process (tests)."""
     global _fallback
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _fallback = _fallback or tempfile.mkdtemp(prefix="quern-ckpt-")
         root = _fallback
     return root.rstrip("/")

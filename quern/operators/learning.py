@@ -109,18 +109,23 @@ def harvest_ratios(shown: DataFrame) -> DataFrame:
 
 
 def harvest_fit(ratios: DataFrame, ranks: int, floor: float = 1e-3) -> np.ndarray:
-    """Examination by rank, eta_1 = 1: weighted least squares on at most ranks^2 / 2 log ratios; ranks without any are nan."""
+    """Examination by rank, eta_1 = 1, from at most ranks^2 / 2 log ratios; ranks that no ratio reaches are nan.
+
+    The log examinations are the potentials of a weighted graph of ranks: they solve the normal equations with the
+    graph's Laplacian, rank 1 held at zero.
+    """
     found = ratios.filter((F.col("r") <= ranks) & (F.col("s") <= ranks)).toPandas()
-    known = sorted({1, *found["r"], *found["s"]})
-    place = {r: i for i, r in enumerate(known)}
-    x = np.zeros((len(found), len(known)))
-    x[np.arange(len(found)), [place[r] for r in found["r"]]] = 1
-    x[np.arange(len(found)), [place[r] for r in found["s"]]] = -1
-    w = np.sqrt(found["weight"].to_numpy())
+    laplacian, flow = np.zeros((ranks, ranks)), np.zeros(ranks)
+    ends = found[["r", "s"]].to_numpy(dtype=int) - 1
+    weight, drop = found["weight"].to_numpy(dtype=float), found["log_ratio"].to_numpy(dtype=float)
+    for side, sign in ((0, 1.0), (1, -1.0)):
+        np.add.at(flow, ends[:, side], sign * weight * drop)
+        np.add.at(laplacian, (ends[:, side], ends[:, side]), weight)
+        np.add.at(laplacian, (ends[:, side], ends[:, 1 - side]), -weight)
+    met = np.flatnonzero(laplacian.diagonal()[1:] > 0) + 1
     out = np.full(ranks, np.nan)
-    solved = np.linalg.lstsq(x[:, 1:] * w[:, None], found["log_ratio"].to_numpy() * w, rcond=None)[0] if len(found) else np.zeros(len(known) - 1)
-    for r, v in zip(known, [0.0, *solved], strict=True):
-        out[r - 1] = max(np.exp(v), floor)
+    out[0] = 1.0
+    out[met] = np.maximum(np.exp(np.linalg.pinv(laplacian[np.ix_(met, met)], hermitian=True) @ flow[met]), floor)
     return out
 
 

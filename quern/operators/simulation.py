@@ -78,15 +78,13 @@ def chi_square_tail(x: float, freedom: int) -> float:
 
 
 def n_at_power(sizes: np.ndarray, power: np.ndarray, target: float = 0.8) -> float | None:
-    """The size at which an isotonic fit of power over log size reaches the target; None if it never does."""
-    x, fit = np.log10(np.asarray(sizes, float)), isotonic(power, np.ones(len(power)))
-    reached = np.flatnonzero(fit >= target)
-    if not len(reached):
+    """The size at which an isotonic curve through the measured powers, straight in log size, meets the target; None if it stays below."""
+    curve = isotonic(power, np.ones(len(power)))
+    above = int(np.searchsorted(curve, target))
+    if above == len(curve):
         return None
-    j = reached[0]
-    if j == 0 or fit[j] == fit[j - 1]:
-        return float(sizes[j])
-    return float(10 ** (x[j - 1] + (target - fit[j - 1]) * (x[j] - x[j - 1]) / (fit[j] - fit[j - 1])))
+    pair = slice(max(above - 1, 0), above + 1)
+    return float(np.exp(np.interp(target, curve[pair], np.log(np.asarray(sizes, float)[pair]))))
 
 
 def size_for_power(delta: float, variance: float, alpha: float = 0.05, power: float = 0.8, arms: int = 2) -> float | None:
