@@ -51,3 +51,26 @@ def tsv_safe(text: Column) -> Column:
 
 def shares(score: Column, total: Column) -> Column:
     return F.when(total != 0, score / total)
+
+
+def instructed(query: Column, instruction: str, limit: int = 64) -> Column:
+    """The instruction and the query's first ``limit`` white-space tokens: what a query encoder is given."""
+    return F.concat(F.lit(instruction), F.array_join(F.slice(F.split(F.trim(query), r"\s+"), 1, limit), " "))
+
+
+def utf16_offset(text: Column, at: Column) -> Column:
+    """The UTF-16 offset of a UTF-8 byte offset that lies between characters."""
+    head = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), at), "UTF-8")
+    return F.length(F.encode(head, "UTF-16BE")) / 2
+
+
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def ulid(ts: Column, *keys) -> Column:
+    """A 26-character id that sorts by time: ten characters of the millisecond, sixteen of a hash of the keys."""
+    letter = lambda bits: F.substring(F.lit(CROCKFORD), (bits % 32 + 1).cast("int"), F.lit(1))
+    ms = F.unix_millis(ts)
+    time = [letter(F.shiftright(ms, 5 * k)) for k in range(9, -1, -1)]
+    hashes = [F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 4) for seed in (0, 1)]
+    return F.concat(*time, *[letter(F.shiftright(h, 5 * k)) for h in hashes for k in range(8)])

@@ -139,3 +139,40 @@ def isotonic(y: np.ndarray, w: np.ndarray, increasing: bool = True) -> np.ndarra
             total = blocks[-1][1] + x
             blocks[-1] = [(blocks[-1][0] * blocks[-1][1] + v * x) / total, total, blocks[-1][2] + n]
     return sign * np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else np.zeros(0)
+
+
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """qid, a, b of two per-query results (qid, value); raises when the ids are not the same, or one repeats."""
+    sides = [x.groupBy("qid").agg(F.count("*").alias("n"), F.max("value").alias(name)).withColumn(f"{name}_n", F.col("n")).drop("n") for x, name in ((a, "a"), (b, "b"))]
+    both = sides[0].join(sides[1], "qid", "full_outer")
+    good = F.coalesce((F.col("a_n") == 1) & (F.col("b_n") == 1), F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("query ids differ or repeat: "), F.col("qid").cast("string"))).cast("double")
+    return both.select("qid", F.when(good, F.col("a")).otherwise(failed).alias("a"), F.when(good, F.col("b")).otherwise(failed).alias("b"))
+
+
+def export_parity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """qid, n, max_diff, same_order of two scorers' results (qid, doc_id, score) over the same candidates: ranks by score, ties by id."""
+    order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    x, y = (s.select("qid", "doc_id", F.col("score").alias(n), F.row_number().over(order).alias(f"{n}_rank")) for s, n in ((a, "x"), (b, "y")))
+    both = x.join(y, ["qid", "doc_id"])
+    return both.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("x") - F.col("y"))), 6).alias("max_diff"),
+                                   (F.max(F.abs(F.col("x_rank") - F.col("y_rank"))) == 0).alias("same_order"))
+
+
+def bootstrap_means(values: DataFrame, rounds: int = 2000, seed: int = 7) -> DataFrame:
+    """name, n, mean, lo, hi: percentile intervals of the mean of each name's values (name, value).
+
+    Equal values collapse to a count first, and a round draws multinomial counts over the distinct values, so the work follows
+    how many values differ, not how many there are.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("value")
+        v, n = group["value"].to_numpy(float), group["n"].to_numpy()
+        total = int(n.sum())
+        means = np.random.default_rng(seed).multinomial(total, n / total, size=rounds) @ v / total
+        lo, hi = np.quantile(means, [0.025, 0.975])
+        return pd.DataFrame({"name": [group["name"].iloc[0]], "n": [total], "mean": [round(float(n @ v) / total, 6)], "lo": [round(lo, 6)], "hi": [round(hi, 6)]})
+
+    counts = values.filter("value IS NOT NULL").groupBy("name", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+    return counts.groupBy("name").applyInPandas(run, "name string, n long, mean double, lo double, hi double")

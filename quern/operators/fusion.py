@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,3 +84,44 @@ def assemble(final: DataFrame, **stages: DataFrame) -> DataFrame:
     for name, run in stages.items():
         out = out.join(run.select("qid", "doc_id", F.col("score").alias(f"{name}_score"), F.col("rank").alias(f"{name}_rank")), ["qid", "doc_id"], "left")
     return out
+
+
+def rerank_pool(*arms: DataFrame, depth: int = 20) -> DataFrame:
+    """Distinct (qid, doc_id) of the first ``depth`` of every arm: what a reranker scores once."""
+    return reduce(DataFrame.unionByName, [truncate(a, depth).select("qid", "doc_id") for a in arms]).distinct()
+
+
+def by_mode(modes: DataFrame, lexical: DataFrame, dense: DataFrame, k: int = 10, **kw) -> DataFrame:
+    """Top k under each query's mode (qid, mode: lexical, dense or hybrid), which falls back to lexical where the dense list is empty: qid, mode, doc_id, rank, score."""
+    some = dense.select("qid").distinct().withColumn("has", F.lit(True))
+    used = modes.join(some, "qid", "left").select("qid", F.when(F.col("has") & F.col("mode").isin("dense", "hybrid"), F.col("mode")).otherwise("lexical").alias("mode"))
+    of = lambda mode: used.filter(F.col("mode") == mode).select("qid")
+    arms = [top_k(lexical.join(of("lexical"), "qid", "left_semi").drop("rank"), k), top_k(dense.join(of("dense"), "qid", "left_semi").drop("rank"), k),
+            fuse(lexical.join(of("hybrid"), "qid", "left_semi"), dense.join(of("hybrid"), "qid", "left_semi"), k=k, **kw)]
+    found = reduce(DataFrame.unionByName, [a.select("qid", "doc_id", "rank", "score") for a in arms])
+    return found.join(used, "qid").select("qid", "mode", "doc_id", "rank", "score")
+
+
+def progressive(first: DataFrame, final: DataFrame) -> DataFrame:
+    """The two frames of a progressive result in one: stage (lexical, then final), qid, doc_id, rank, score."""
+    cols = ["qid", "doc_id", "rank", "score"]
+    return first.select(F.lit("lexical").alias("stage"), *cols).unionByName(final.select(F.lit("final").alias("stage"), *cols))
+
+
+def score_pairs(pairs: DataFrame, scorer, batch: int = 256) -> DataFrame:
+    """qid, doc_id, rerank of pairs (qid, doc_id, query, text) under a pluggable scorer.
+
+    ``scorer`` is called once a task and returns a function from two lists of strings to scores; a two-column result is taken as the
+    logits of a two-class head, whose difference is the score. It sees at most ``batch`` pairs at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = scorer()
+        for frame in batches:
+            for k in range(0, len(frame), batch):
+                part = frame.iloc[k : k + batch]
+                values = np.asarray(score(part["query"].tolist(), part["text"].tolist()), dtype=float)
+                values = values[:, 1] - values[:, 0] if values.ndim == 2 else values
+                yield part[["qid", "doc_id"]].assign(rerank=values)
+
+    return pairs.select("qid", "doc_id", "query", "text").mapInPandas(run, "qid long, doc_id long, rerank double")

@@ -150,3 +150,19 @@ def training_groups(mined: DataFrame, size: int = 8, seed: int = 1, step: int =
     order = W.partitionBy("qid").orderBy("late", draw, "doc_id")
     others = unique.withColumn("slot", F.row_number().over(order)).filter(F.col("slot") < size).select("qid", "doc_id", "slot", F.lit(0).alias("label"))
     return one.unionByName(others.join(one.select("qid"), "qid", "left_semi"))
+
+
+def dense_for(candidates: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """qid, doc_id, rank, score of the candidates (qid, doc_id) that have a vector, by inner product with their query's: queries (qid, embedding), vectors (doc_id, embedding)."""
+    asked, held = queries.select("qid", F.col("embedding").alias("q")), vectors.select("doc_id", F.col("embedding").alias("v"))
+    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = candidates.select("qid", "doc_id").join(asked, "qid").join(held, "doc_id").select("qid", "doc_id", F.round(score, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
+
+
+def ranked_lists(scored: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """qid and nDCG@k of lists scored by a model: scored (qid, doc_id, score)."""
+    from quern.operators.evaluation import ndcg
+
+    order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    return ndcg(scored.withColumn("rank", F.row_number().over(order)), qrels, k)

@@ -102,3 +102,24 @@ def traceparent(value: Column) -> Column:
     part = lambda i: F.regexp_extract(value, pattern, i)
     good = value.rlike(pattern) & (part(1) != "0" * 32) & (part(2) != "0" * 16)
     return F.when(good, F.struct(part(1).alias("trace_id"), part(2).alias("span_id"), (F.conv(part(3), 16, 10).cast("int").bitwiseAND(1) == 1).alias("sampled")))
+
+
+# What a user is told at each level of degradation.
+NOTICES = ("", "Results are not reranked.", "Results are searched less deeply.", "Results are matched by words only.")
+
+
+def notices(plan: DataFrame) -> DataFrame:
+    """``plan`` (level) with the notice its level shows."""
+    return plan.withColumn("notice", F.element_at(F.array(*[F.lit(x) for x in NOTICES]), F.col("level") + 1))
+
+
+def validate_requests(requests: DataFrame, most_k: int = 100, longest: int = 512) -> DataFrame:
+    """``requests`` (q, k, mode) with defaults put in (k 10, mode hybrid) and ``error``: the first rule a request breaks, null if none."""
+    k, mode, q = F.coalesce("k", F.lit(10)), F.coalesce("mode", F.lit("hybrid")), F.trim(F.coalesce("q", F.lit("")))
+    error = F.when(q == "", "q").when(F.length(q) > longest, "q").when(~k.between(1, most_k), "k").when(~mode.isin("lexical", "dense", "hybrid"), "mode")
+    return requests.withColumn("q", q).withColumn("k", k).withColumn("mode", mode).withColumn("error", error)
+
+
+def without(df: DataFrame, *prefixes: str) -> DataFrame:
+    """``df`` without the columns that begin with one of the prefixes: timings that differ from run to run."""
+    return df.drop(*[c for c in df.columns if c.startswith(prefixes)])

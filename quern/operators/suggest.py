@@ -66,3 +66,35 @@ def correct(words: DataFrame, vocabulary: DataFrame, most: int = 2, least_count:
     scored = near.mapInPandas(run, "word string, candidate string, n long, distance long").filter(F.col("distance") <= most)
     order = W.partitionBy("word").orderBy("distance", F.desc("n"), "candidate")
     return scored.withColumn("r", F.row_number().over(order)).filter("r = 1").select("word", "candidate", "distance", "n")
+
+
+def lookup(counts: DataFrame, prefixes: DataFrame, k: int = 5) -> DataFrame:
+    """Top k completions of the asked prefixes (prefix), already normalised: prefix, rank, query, n. The empty prefix asks for the top of all.
+
+    Only the asked lengths of each logged query are made, and only asked prefixes are ranked.
+    """
+    asked = prefixes.select("prefix").distinct()
+    lengths = [r[0] for r in asked.select(F.length("prefix").alias("l")).distinct().collect()]  # at most one a query length
+    heads = counts.select("query", "n", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(-1)])).alias("l")).filter("l >= 0 AND l <= length(query)")
+    keyed = heads.select(F.expr("substring(query, 1, l)").alias("prefix"), "query", "n").join(asked, "prefix", "left_semi")
+    order = W.partitionBy("prefix").orderBy(F.desc("n"), "query")
+    return keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("prefix", "rank", "query", "n")
+
+
+def prefix_span(prefix, query):
+    """(start, end) in characters of a suggestion that its prefix covers; an empty span where it does not begin with it."""
+    return F.struct(F.lit(0).alias("start"), F.when(F.startswith(query, prefix), F.length(prefix)).otherwise(0).alias("end"))
+
+
+def suggest_queries(queries: DataFrame, corrections: DataFrame) -> DataFrame:
+    """qid and suggestion: the query's words (qid, pos, word) with corrections (word, candidate) put in; null where none applies."""
+    fixed = queries.join(corrections.select("word", "candidate"), "word", "left")
+    whole = fixed.groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("candidate", "word").alias("w")))).alias("words"), F.max(F.col("candidate").isNotNull()).alias("changed"))
+    return whole.select("qid", F.when(F.col("changed"), F.array_join("words.w", " ")).alias("suggestion"))
+
+
+def did_you_mean(suggestions: DataFrame, queries: DataFrame, log: DataFrame) -> DataFrame:
+    """The suggestions of queries (qid, query) that the log (query) does not hold."""
+    unknown = queries.join(log.select("query").distinct(), "query", "left_anti").select("qid")
+    return suggestions.filter("suggestion IS NOT NULL").join(unknown, "qid", "left_semi")

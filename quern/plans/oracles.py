@@ -90,7 +90,44 @@ def _two(w: str) -> str:
     return f"list_distinct([{head}] || {one.format(head, 'i')} || flatten(list_transform({one.format(head, 'i')}, lambda v: {one.format('v', 'j')})))"
 
 
+LEX10 = "SELECT qid, doc_id, rank, score FROM lr WHERE rank <= 10"
+SHARES = f"""tops AS (SELECT qid, doc_id FROM lr WHERE rank <= 10), qs AS (SELECT DISTINCT qid, term FROM qt), ds AS (SELECT DISTINCT doc_id, term FROM posts WHERE doc_id IN (SELECT doc_id FROM tops)),
+shares AS (SELECT t.qid, t.doc_id, round(count(ds.term)::DOUBLE / count(*), 6) AS rerank FROM tops t JOIN qs USING (qid) LEFT JOIN ds ON ds.doc_id = t.doc_id AND ds.term = qs.term GROUP BY ALL)"""
+_K = "CAST(json_extract_string(props, '$.k') AS INT)"
+_CROCK = " || ".join(f"substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', (((epoch_us(ts) // 1000) >> {5 * k}) % 32 + 1)::INT, 1)" for k in range(9, -1, -1))
+
 ORACLES = {
+    "term_lookup": _ctes(DOCS, TOKENS, POSTS, TOPIC) + "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts WHERE term IN (SELECT term FROM qt) GROUP BY term",
+    "fetch_texts": _ctes(*BASE) + "SELECT qid, doc_id, rank, length(text) AS n_chars, md5(text) AS md5 FROM lex JOIN documents USING (doc_id) WHERE rank <= 10",
+    "query_instruction": r"SELECT item_id AS qid, 'query: ' || array_to_string(string_split_regex(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ')[1:16], ' ') AS prompt FROM benchmark",
+    "selected_scores": _ctes(*LEX, *DENSE) + "SELECT c.qid, c.doc_id, coalesce(s.score, 0.0)::DOUBLE AS score FROM (SELECT DISTINCT qid, doc_id FROM dr WHERE rank <= 20) c LEFT JOIN lex_s s USING (qid, doc_id)",
+    "rerank_pool": _ctes(*LEX, *DENSE) + "SELECT qid, doc_id FROM lr WHERE rank <= 20 UNION SELECT qid, doc_id FROM dr WHERE rank <= 20",
+    "mode_fallback": _ctes(*FUSED, _weighted("f", "zscore", 0.8), "m AS (SELECT item_id AS qid, CASE WHEN item_id % 3 > 0 AND item_id IN (SELECT qid FROM dr) THEN CASE item_id % 3 WHEN 1 THEN 'dense' ELSE 'hybrid' END ELSE 'lexical' END AS mode FROM benchmark)",
+                           f"hy AS ({_top('f')})")
+    + "SELECT qid, mode, doc_id, rank, score FROM lr JOIN m USING (qid) WHERE mode = 'lexical' AND rank <= 10 UNION ALL SELECT qid, mode, doc_id, rank, score FROM dr JOIN m USING (qid) WHERE mode = 'dense' AND rank <= 10 "
+      "UNION ALL SELECT qid, mode, doc_id, rank, score FROM hy JOIN m USING (qid) WHERE mode = 'hybrid'",
+    "progressive_result": _ctes(*FUSED, _weighted("f", "zscore", 0.8)) + f"SELECT 'lexical' AS stage, * FROM ({LEX10}) UNION ALL SELECT 'final', * FROM ({_top('f')})",
+    "rerank_scores": _ctes(*LEX, SHARES) + "SELECT * FROM shares",
+    "align_values": _ctes(*EVAL, "ideal AS (SELECT qid, sum(grade / log2(i + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS i FROM qrels) WHERE i <= 10 GROUP BY qid)",
+                          "got AS (SELECT qid, sum(grade / log2(rank + 1)) AS dcg, min(rank) AS r FROM er JOIN qrels USING (qid, doc_id) WHERE rank <= 10 GROUP BY qid)")
+    + "SELECT qid, round(coalesce(1.0::DOUBLE / r, 0), 6) AS a, round(coalesce(dcg / ideal, 0), 6) AS b FROM judged LEFT JOIN ideal USING (qid) LEFT JOIN got USING (qid)",
+    "export_parity": _ctes(*BASE, _scores("luc", 1.2, 0.75, 1.0), *[f"{n} AS (SELECT qid, doc_id, score, rank FROM {r} WHERE rank <= 10)" for n, r in (("x", "lex"), ("y", "luc"))],
+                           "b AS (SELECT qid, x.score AS sx, y.score AS sy, x.rank AS rx, y.rank AS ry FROM x JOIN y USING (qid, doc_id))")
+    + "SELECT qid, count(*) AS n, round(max(abs(sx - sy)), 6) AS max_diff, max(abs(rx - ry)) = 0 AS same_order FROM b GROUP BY qid",
+    "suggest_lookup": _ctes(LOG, TOPIC, "asked AS (SELECT DISTINCT substr(term, 1, 3) AS prefix FROM qt)")
+    + "SELECT prefix, rank, query, n, len(prefix)::INT AS span_end FROM (SELECT prefix, query, n, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, query) AS rank FROM asked JOIN counts ON starts_with(query, prefix)) WHERE rank <= 5",
+    "ulid_times": f"SELECT event_id, {_CROCK} AS time_part FROM events",
+    "team_balance": _ctes(UI, "t AS (SELECT DISTINCT request_id, team FROM ui WHERE type = 'impression' AND rank = 1)", "c AS (SELECT count(*) FILTER (team = 'A') AS n_a, count(*) FILTER (team = 'B') AS n_b FROM t)")
+    + "SELECT n_a, n_b, CASE WHEN n_a + n_b > 0 THEN round((n_a - n_b) / sqrt(n_a + n_b), 6) END AS z FROM c",
+    "request_validate": f"""WITH q AS (SELECT event_id, {_K} AS x FROM events),
+r AS (SELECT event_id, CASE WHEN x % 7 > 0 THEN repeat('ab', x * 4) ELSE '' END AS q, CASE WHEN x % 5 > 0 THEN x + 5 ELSE 10 END AS k, CASE WHEN x % 3 > 0 THEN ['lexical', 'dense', 'hybrid', 'other'][x % 4 + 1] ELSE 'hybrid' END AS mode FROM q)
+SELECT event_id, k, mode, CASE WHEN q = '' OR len(q) > 512 THEN 'q' WHEN k NOT BETWEEN 1 AND 100 THEN 'k' WHEN mode = 'other' THEN 'mode' END AS error FROM r""",
+    "dense_for_candidates": _ctes(*LEX, f"c AS (SELECT qid, doc_id, round({DOT}, 6) AS score FROM lr JOIN embeddings a ON a.vec_id = qid JOIN embeddings b ON b.vec_id = doc_id)")
+    + "SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, score FROM c",
+    "list_ndcg": _ctes(*EVAL, SHARES, "ideal AS (SELECT qid, sum(grade / log2(i + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, doc_id) AS i FROM qrels) WHERE i <= 10 GROUP BY qid)",
+                       "sr AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, doc_id) AS rank FROM shares)", "got AS (SELECT qid, sum(grade / log2(rank + 1)) AS dcg FROM sr JOIN qrels USING (qid, doc_id) WHERE rank <= 10 GROUP BY qid)")
+    + "SELECT qid, round(coalesce(dcg / ideal, 0), 6) AS value FROM judged LEFT JOIN ideal USING (qid) LEFT JOIN got USING (qid)",
+    "stream_first_seen": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "tokens_tf": _ctes(DOCS, TOKENS, POSTS) + "SELECT doc_id, term, tf FROM posts",
     "lexicon": _ctes(DOCS, TOKENS, POSTS) + "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posts GROUP BY term",
     "collection_stats": _ctes(DOCS, STATS) + "SELECT n_docs, sum_dl, round(avgdl, 6) AS avgdl FROM stats",
@@ -109,6 +146,12 @@ ORACLES = {
                             "p AS (SELECT logger, doc_id, CASE WHEN logger = 0 THEN doc_id % 10 + 1 ELSE doc_id % 7 + 1 END AS rank, count(*) FILTER (type = 'click') AS clicks, count(*) AS sessions FROM e GROUP BY ALL)",
                             "m AS (SELECT a.rank AS r, b.rank AS s, sum(a.clicks) AS c, sum(a.sessions) AS n FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.logger <> b.logger AND a.rank <> b.rank GROUP BY ALL)")
     + "SELECT x.r, x.s, round(ln(x.c / x.n) - ln(y.c / y.n), 6) AS log_ratio, round(1 / (1 / x.c + 1 / y.c), 6) AS weight FROM m x JOIN m y ON x.r = y.s AND x.s = y.r WHERE x.r < x.s AND x.c > 0 AND y.c > 0",
+    "degradation_notice": """WITH q AS (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(value, 0) AS v FROM events),
+r AS (SELECT *, k % 2 = 0 AND k % 11 > 0 AND k % 13 > 0 AS d, k % 3 > 0 AND k % 17 > 0 AS rr, CASE WHEN k > 95 THEN 3 WHEN k > 75 THEN 2 WHEN k > 50 THEN 1 ELSE 0 END AS f, v * 4 AS rem, k % 29 = 0 AS probe FROM q),
+c AS (SELECT *, CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN d THEN v * 0.9 ELSE v * 0.3 END + CASE WHEN rr THEN v * 3.0 ELSE 0 END + 2 AS c0,
+      CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN d THEN v * 0.9 ELSE v * 0.3 END + 2 AS c1, CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN d THEN v * 0.5 ELSE v * 0.3 END + 2 AS c2 FROM r),
+l AS (SELECT *, CASE WHEN f <= 0 AND (probe OR c0 <= rem) THEN 0 WHEN f <= 1 AND (probe OR c1 <= rem) THEN 1 WHEN f <= 2 AND (probe OR c2 <= rem) THEN 2 ELSE 3 END AS level FROM c)
+SELECT level, ['', 'Results are not reranked.', 'Results are searched less deeply.', 'Results are matched by words only.'][level + 1] AS notice, count(*) AS n FROM l GROUP BY ALL""",
     "degradation_plan": """WITH q AS (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(value, 0) AS v FROM events),
 r AS (SELECT *, k % 2 = 0 AND k % 11 > 0 AND k % 13 > 0 AS d, k % 3 > 0 AND k % 17 > 0 AS rr, CASE WHEN k > 95 THEN 3 WHEN k > 75 THEN 2 WHEN k > 50 THEN 1 ELSE 0 END AS f, v * 4 AS rem, k % 29 = 0 AS probe FROM q),
 c AS (SELECT *, CASE WHEN d THEN 8 ELSE 0 END + CASE WHEN d THEN v * 0.9 ELSE v * 0.3 END + CASE WHEN rr THEN v * 3.0 ELSE 0 END + 2 AS c0,
@@ -130,6 +173,7 @@ SELECT level, d AND level < 3 AS use_dense, d AND level = 2 AS shrink_beam, rr A
     "l2_normalise": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3::FLOAT)::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS s FROM e) SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x / s) * (x / s))), 6) AS norm, round(v[1] / s, 6) AS first FROM n",
     "fusion_rrf": _ctes(*LEX, *DENSE, "f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT qid, doc_id, rank FROM lr UNION ALL SELECT qid, doc_id, rank FROM dr) GROUP BY ALL)") + _top("f"),
     "fusion_minmax": _ctes(*FUSED, _weighted("f", "minmax", 0.5)) + _top("f"),
+    "depth_matched": _ctes(*BASE, "lr AS (SELECT * FROM lex WHERE rank <= 20)", DENSE[0], "dr AS (SELECT qid, vec_id AS doc_id, rank, score FROM nn WHERE rank <= 20)", *DENSE[2:], NORMS, _weighted("f", "zscore", 0.8)) + _top("f"),
     "fusion_zscore": _ctes(*FUSED, _weighted("f", "zscore", 0.8)) + _top("f"),
     "fusion_grid": _ctes(*FUSED, QRELS, *[_weighted(f"{n}_{i}", n, a) for n in ("minmax", "zscore") for i, a in enumerate((0.2, 0.5, 0.8))],
                          "every AS (" + " UNION ALL ".join(f"SELECT '{n}-{a}' AS config, * FROM {n}_{i}" for n in ("minmax", "zscore") for i, a in enumerate((0.2, 0.5, 0.8))) + ")")
@@ -146,7 +190,7 @@ SELECT level, d AND level < 3 AS use_dense, d AND level = 2 AS shrink_beam, rr A
     + "SELECT qid, CASE WHEN x.ids = y.ids THEN 'identical' WHEN list_sort(x.ids) = list_sort(y.ids) THEN 'tie_order' WHEN x.last = y.last THEN 'tie_cutoff' ELSE 'different' END AS bucket FROM x FULL JOIN y USING (qid)",
     "holm": "WITH c AS (SELECT c_mktsegment AS name, (sum(c_custkey) % 1000)::BIGINT / 10000.0::DOUBLE AS p FROM customer GROUP BY 1), s AS (SELECT name, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p) AS v FROM c) SELECT name, p, round(max(v) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 6)::DOUBLE AS p_holm FROM s",
     "query_counts": _ctes(LOG) + "SELECT * FROM counts",
-    "suggest_prefix": _ctes(LOG, "p AS (SELECT substr(query, 1, l) AS prefix, query, n FROM (SELECT *, unnest(range(0, least(len(query), 6) + 1)) AS l FROM counts))")
+    "suggest_prefix": _ctes(LOG, "p AS (SELECT substr(query, 1, l) AS prefix, query, n FROM (SELECT *, unnest(range(0, len(query) + 1)) AS l FROM counts))")
     + "SELECT prefix, rank, query, n FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, query) AS rank FROM p) WHERE rank <= 5",
     "spell_candidates": _ctes(LOG, "known AS (SELECT query AS word, n FROM counts WHERE n >= 3)", TOPIC, "asked AS (SELECT DISTINCT term AS word FROM qt WHERE term NOT IN (SELECT word FROM known))",
                               f"x AS (SELECT DISTINCT word, unnest({_two('word')}) AS key FROM asked WHERE regexp_full_match(word, '[a-z]{{3,30}}'))", f"y AS (SELECT DISTINCT word AS candidate, n, unnest({_two('word')}) AS key FROM known WHERE regexp_full_match(word, '[a-z]{{3,30}}'))")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.storage import checkpoint_root
-from quern.functions.text import simple_tokens
+from quern.functions.storage import checkpoint_root, materialise
+from quern.functions.text import LOWER, UPPER, instructed, normalise_query, simple_tokens, ulid
 from quern.operators import evaluation as ev
 from quern.operators import experiments as ex
 from quern.operators import fusion as fu
@@ -44,8 +44,27 @@ def topics(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+_STORED: dict = {}
+
+
+def stored(spark, sf, name: str, build):
+    """What ``build`` makes of the documents, made once a session and state of their files."""
+    files = table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum("file_size"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()
+    key = (spark.sparkContext.applicationId, sf, name, *state)
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
+
+
+def index(spark, sf) -> lx.Index:
+    return stored(spark, sf, "index", lambda: lx.store_index(corpus(spark, sf), f"quern_{uuid.uuid4().hex}"))
+
+
 def lexical_run(spark, sf, k=100) -> DataFrame:
-    return lx.bm25(corpus(spark, sf), topics(spark, sf), k=k)
+    """The stored run of all topics; its first k ranks."""
+    run = stored(spark, sf, "run", lambda: materialise(lx.bm25(index(spark, sf), topics(spark, sf), k=100), "lexical-run"))
+    return run.filter(F.col("rank") <= k)
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -60,6 +79,10 @@ def dense_run(spark, sf, k=100) -> DataFrame:
 
 
 def judgements(spark, sf) -> DataFrame:
+    return stored(spark, sf, "judgements", lambda: materialise(_judgements(spark, sf), "judgements"))
+
+
+def _judgements(spark, sf) -> DataFrame:
     pool = lexical_run(spark, sf).select("qid", "doc_id")
     good = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     items = topics(spark, sf).select("qid", F.col("text").alias("item"))
@@ -96,7 +119,7 @@ def tokens_tf(spark, sf):
 
 @query
 def lexicon(spark, sf):
-    return lx.lexicon(lx.postings(corpus(spark, sf)))
+    return index(spark, sf).terms.select("term", "df", "cf")
 
 
 @query
@@ -111,34 +134,63 @@ def query_terms(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    return lexical_run(spark, sf, 10)
+    return lx.bm25(index(spark, sf), topics(spark, sf), k=10)
 
 
 @query
 def bm25_idf_only(spark, sf):
     """The model without the (k1 + 1) factor, at other parameters."""
-    return lx.bm25(corpus(spark, sf), topics(spark, sf), k=10, k1=1.2, b=0.75, model="lucene")
+    return lx.bm25(index(spark, sf), topics(spark, sf), k=10, k1=1.2, b=0.75, model="lucene")
 
 
 @query
 def bm25_explain(spark, sf):
-    return lx.explain(corpus(spark, sf), topics(spark, sf), k=10)
+    return lx.explain(index(spark, sf), topics(spark, sf), k=10)
 
 
 @query
 def term_bounds(spark, sf):
-    return lx.term_bounds(corpus(spark, sf))
+    return lx.term_bounds(index(spark, sf))
 
 
 @query
 def bm25_pruned(spark, sf):
-    return lx.pruned(corpus(spark, sf), topics(spark, sf), k=10)
+    return lx.pruned(index(spark, sf), topics(spark, sf), k=10)
+
+
+@query
+def pruning_counters(spark, sf):
+    """Blocks and postings that the exhaustive and the pruned search score, by topic."""
+    return lx.pruning_report(index(spark, sf), topics(spark, sf), k=10)
+
+
+@query
+def term_lookup(spark, sf):
+    """Document frequencies of the topics' terms, from the stored index."""
+    return lx.of_terms(index(spark, sf).terms, lx.query_terms(topics(spark, sf))).select("term", "df", "cf")
+
+
+@query
+def fetch_texts(spark, sf):
+    """The stored texts of the ranked documents, by id."""
+    return bm25_topk(spark, sf).join(corpus(spark, sf), "doc_id").select("qid", "doc_id", "rank", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query
+def query_instruction(spark, sf):
+    return topics(spark, sf).select("qid", instructed(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " "), "query: ", 16).alias("prompt"))
+
+
+@query
+def selected_scores(spark, sf):
+    """Exact scores of the dense run's documents for every topic."""
+    return lx.selected(index(spark, sf), topics(spark, sf), dense_run(spark, sf, 20))
 
 
 @query
 def bm25_sharded(spark, sf):
     """Per-shard top k under global statistics, merged: equals the single index."""
-    scores = lx.term_scores(corpus(spark, sf), topics(spark, sf)).groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    scores = lx.term_scores(index(spark, sf), topics(spark, sf)).groupBy("qid", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
     shard = W.partitionBy("qid", F.pmod("doc_id", F.lit(4))).orderBy(F.desc("score"), "doc_id")
     local = scores.withColumn("r", F.row_number().over(shard)).filter("r <= 10").select("qid", "doc_id", "score")
     return fu.merge_top_k(local, 10).select("qid", "doc_id", "rank", "score")
@@ -264,13 +316,70 @@ def fusion_grid(spark, sf):
 def rerank_cascade(spark, sf):
     """The lexical top 10 whose head of 5 is reordered by document length (a stand-in for a model's score)."""
     run = lexical_run(spark, sf, 10)
-    score = lx.doc_stats(corpus(spark, sf)).select("doc_id", F.col("dl").cast("double").alias("rerank"))
+    score = index(spark, sf).docs.select("doc_id", F.col("dl").cast("double").alias("rerank"))
     per = run.select("qid", "doc_id").join(score, "doc_id")
     return fu.cascade(run, per, 5).select("qid", "doc_id", "rank", "new_rank")
 
 
+@query
+def rerank_pool(spark, sf):
+    return fu.rerank_pool(lexical_run(spark, sf), dense_run(spark, sf), depth=20)
+
+
+@query
+def mode_fallback(spark, sf):
+    """Every third topic asks for each mode; topics without a vector fall back to lexical."""
+    modes = topics(spark, sf).select("qid", F.element_at(F.array(F.lit("lexical"), F.lit("dense"), F.lit("hybrid")), (F.col("qid") % 3 + 1).cast("int")).alias("mode"))
+    return fu.by_mode(modes, lexical_run(spark, sf), dense_run(spark, sf))
+
+
+@query
+def depth_matched(spark, sf):
+    """Fusion of lists cut to the same depth of 20."""
+    return _fused(spark, sf, depth=20)
+
+
+@query
+def progressive_result(spark, sf):
+    return fu.progressive(lexical_run(spark, sf, 10), _fused(spark, sf))
+
+
+def token_share():
+    """A stand-in for a model: the share of the query's distinct tokens that the text holds."""
+    import re
+
+    def score(queries, texts):
+        sets = [[set(re.findall("[a-z0-9]+", x.translate(str.maketrans(UPPER, LOWER)))) for x in side] for side in (queries, texts)]
+        return [len(q & t) / len(q) if q else 0.0 for q, t in zip(*sets, strict=True)]
+
+    return score
+
+
+@query
+def rerank_scores(spark, sf):
+    pairs = lexical_run(spark, sf, 10).select("qid", "doc_id").join(topics(spark, sf).select("qid", F.col("text").alias("query")), "qid").join(corpus(spark, sf), "doc_id")
+    return fu.score_pairs(pairs, token_share).withColumn("rerank", F.round("rerank", 6))
+
+
 # Evaluation
 
+@query
+def align_values(spark, sf):
+    """RR and nDCG of the lexical run side by side, over the same topics."""
+    run, j = ev.evaluator_order(lexical_run(spark, sf)), judgements(spark, sf)
+    return ev.aligned(ev.reciprocal_rank(run, j), ev.ndcg(run, j))
+
+
+@query
+def export_parity(spark, sf):
+    return ev.export_parity(bm25_topk(spark, sf), bm25_idf_only(spark, sf))
+
+
+@query
+def bootstrap_means(spark, sf):
+    return ev.bootstrap_means(table(spark, sf, "events").select(F.col("event_type").alias("name"), "value"))
+
+
 @query
 def eval_mrr(spark, sf):
     return ev.reciprocal_rank(ev.evaluator_order(lexical_run(spark, sf)), judgements(spark, sf))
@@ -341,8 +450,52 @@ def spell_correct(spark, sf):
     return su.correct(*_spelling(spark, sf))
 
 
+@query
+def suggest_lookup(spark, sf):
+    """Completions of the first three letters of the topics' words."""
+    asked = topics(spark, sf).select(F.explode(simple_tokens(F.col("text"))).alias("w")).select(F.substring("w", 1, 3).alias("prefix"))
+    found = su.lookup(su.query_counts(log_words(spark, sf)), asked, 5)
+    return found.select("prefix", "rank", "query", "n", su.prefix_span(F.col("prefix"), F.col("query"))["end"].alias("span_end"))
+
+
+def _suggestions(spark, sf):
+    words = topics(spark, sf).select("qid", F.posexplode(simple_tokens(F.col("text"))).alias("pos", "word"))
+    return su.suggest_queries(words, su.correct(*_spelling(spark, sf)))
+
+
+@query
+def suggest_whole_query(spark, sf):
+    return _suggestions(spark, sf)
+
+
+@query
+def did_you_mean(spark, sf):
+    asked = topics(spark, sf).select("qid", normalise_query(F.col("text")).alias("query"))
+    return su.did_you_mean(_suggestions(spark, sf), asked, log_words(spark, sf))
+
+
 # Events and experiments
 
+@query
+def ulid_times(spark, sf):
+    """The time part of every event's id, which sorts as its time does."""
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.substring(ulid(F.col("ts").cast("timestamp"), "event_id"), 1, 10).alias("time_part"))
+
+
+@query
+def team_balance(spark, sf):
+    return ex.team_balance(ui_events(spark, sf).filter("type = 'impression'"))
+
+
+@query
+def request_validate(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    asked = table(spark, sf, "events").select("event_id", F.when(k % 7 > 0, F.repeat(F.lit("ab"), k * 4)).alias("q"), F.when(k % 5 > 0, k + 5).alias("k"),
+                                              F.when(k % 3 > 0, F.element_at(F.array(F.lit("lexical"), F.lit("dense"), F.lit("hybrid"), F.lit("other")), k % 4 + 1)).alias("mode"))
+    return sv.validate_requests(asked).select("event_id", "k", "mode", "error")
+
+
 @query
 def event_validate(spark, sf):
     return ex.validate_events(ui_events(spark, sf)).groupBy(F.coalesce("error", F.lit("ok")).alias("error"), "type").agg(F.count("*").alias("n"))
@@ -456,7 +609,7 @@ def _queries_words(spark, sf):
 @query
 def ltr_features(spark, sf):
     run = lexical_run(spark, sf, 20)
-    return le.features(run, lexical_run(spark, sf), dense_run(spark, sf), _queries_words(spark, sf), lx.doc_stats(corpus(spark, sf)))
+    return le.features(run, lexical_run(spark, sf), dense_run(spark, sf), _queries_words(spark, sf), index(spark, sf).docs)
 
 
 def _clicks(spark, sf):
@@ -573,6 +726,26 @@ def document_shards(spark, sf):
     return corpus(spark, sf).groupBy(sv.shard_of(F.col("doc_id"), 4).alias("shard")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
+@query
+def degradation_notice(spark, sf):
+    plan = sv.notices(sv.degradation_plan(_requests(spark, sf)))
+    return plan.groupBy("level", "notice").agg(F.count("*").alias("n"))
+
+
+@query
+def dense_for_candidates(spark, sf):
+    """The lexical candidates that have a vector, reordered by it."""
+    asked = vectors(spark, sf).join(topics(spark, sf).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi")
+    return le.dense_for(lexical_run(spark, sf), asked.select(F.col("vec_id").alias("qid"), "embedding"), vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")).select(
+        "qid", "doc_id", "rank", "score")
+
+
+@query
+def list_ndcg(spark, sf):
+    """nDCG@10 of the lists ordered by their token share."""
+    return le.ranked_lists(rerank_scores(spark, sf).select("qid", "doc_id", F.col("rerank").alias("score")), judgements(spark, sf))
+
+
 # Streams: memory sinks over all available files, equal to their batch twins
 
 def _stream(spark, sf):
@@ -594,6 +767,15 @@ def stream_slo_burn(spark, sf):
     return _drive(spark, live.sliding_rates(_stream(spark, sf).select("ts", "event_type")), "stream_slo_burn", "complete")
 
 
+@query
+def stream_first_seen(spark, sf):
+    """Counts of events whose every row comes twice, without the repeats."""
+    e = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = e.select("event_id", "ts", "event_type", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    seen = _drive(spark, live.first_seen(twice, "event_id").select("event_id", "event_type"), "stream_first_seen", "append")
+    return seen.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query
 def click_within_hour(spark, sf):
     e = table(spark, sf, "events")

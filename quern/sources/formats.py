@@ -146,3 +146,47 @@ def read_experiments(spark: SparkSession, path: str) -> list[dict]:
     if len({e["id"] for e in found}) != len(found) or not all(0 <= e.get("allocation", 0) <= 1 for e in found):
         raise ValueError("experiment ids must differ and allocations lie in [0, 1]")
     return found
+
+
+def write_ground_truth(found: DataFrame, path: str) -> None:
+    """Exact neighbours (qid, rank, vec_id, score) as Parquet, dealt by query."""
+    found.select("qid", "rank", "vec_id", "score").repartition("qid").sortWithinPartitions("qid", "rank").write.mode("overwrite").parquet(path)
+
+
+def read_ground_truth(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
+    """qid, rank, vec_id, score; with ``ids`` (vec_id, pid), in passage ids: qid, rank, pid, score."""
+    truth = spark.read.parquet(path)
+    return truth if ids is None else truth.join(ids, "vec_id").select("qid", "rank", "pid", "score")
+
+
+def write_mined(mined: DataFrame, path: str) -> None:
+    """Mined negatives as JSON lines, one a query: qid and its negatives (doc_id, source) in order of id."""
+    rows = mined.groupBy("qid").agg(F.array_sort(F.collect_set(F.struct("doc_id", "source"))).alias("negatives"))
+    rows.write.mode("overwrite").json(path)
+
+
+def read_mined(spark: SparkSession, path: str) -> DataFrame:
+    """qid, doc_id, source."""
+    rows = spark.read.schema("qid long, negatives array<struct<doc_id: long, source: string>>").json(path)
+    return rows.select("qid", F.explode("negatives").alias("n")).select("qid", "n.doc_id", "n.source")
+
+
+def checked_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """name, md5, actual, ok of every file that a manifest (name, md5) lists; a file that is not there is not ok."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("actual"))
+    return manifest.join(files, "name", "left").select("name", "md5", "actual", F.coalesce(F.col("md5") == F.col("actual"), F.lit(False)).alias("ok"))
+
+
+def judged_topics(topics: DataFrame, qrels: DataFrame) -> DataFrame:
+    """The topics (qid) that have a judgement."""
+    return topics.join(qrels.select("qid").distinct(), "qid", "left_semi")
+
+
+def zipf_corpus(spark: SparkSession, docs: int, vocabulary: int = 5000, longest: int = 200, seed: int = 1) -> DataFrame:
+    """doc_id (sparse, ascending), text: words w<rank> drawn with probability about 1 / rank; some documents are empty. The same on any number of partitions."""
+    draw = lambda *k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *k), 11).cast("double") / float(1 << 53)
+    base = spark.range(docs).select((F.col("id") * 3 + 1).alias("doc_id"), F.floor(draw(F.lit("n"), "id") * (longest + 1)).cast("int").alias("n"))
+    word = F.concat(F.lit("w"), F.floor(F.pow(F.lit(float(vocabulary)), draw(F.lit("w"), "doc_id", "at"))).cast("long"))
+    words = base.filter("n > 0").select("doc_id", F.explode(F.expr("sequence(1, n)")).alias("at")).select("doc_id", "at", word.alias("w"))
+    texts = words.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "w")))["w"], " ").alias("text"))
+    return base.select("doc_id").join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
