@@ -318,16 +318,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the smallest doc_id; of rows that repeat doc_id and text, one.
+    """``docs`` with one document of each component, that of the smallest doc_id.
 
-    Rows without a doc_id stay.
+    Every row is a document of its own: rows whose doc_id is repeated or null are told apart by their text and come
+    after all others; of rows that repeat doc_id and text, one stays. Columns of any name pass through untouched.
     """
-    # Both lists are written first: their size is then known, and Spark broadcasts only below its threshold.
-    found = near_duplicates(docs, k, percent)
-    dropped = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    repeated = materialise(docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 AND _id IS NOT NULL").select("_id"), "repeated")
-    kept = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept["doc_id"] == repeated["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, kept["doc_id"] == repeated["_id"], "left_anti").unionByName(once)
+    key = F.col("doc_id").cast("long")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("src"), key.alias("id"), "text")
+    # Lists are written before they are joined: their size is then known, and Spark broadcasts only below its threshold.
+    repeated = materialise(docs.groupBy(key.alias("again")).count().filter("count > 1 OR again IS NULL").select("again"), "repeated")
+    some = not repeated.isEmpty()
+    if some:
+        marked = repeated.select("again", F.lit(True).alias("marked"))
+        own = own.join(marked, own["id"].eqNullSafe(marked["again"]), "left").drop("again")
+        own = own.withColumn("key", F.when(F.col("marked"), F.expr(f"(xxhash64(id, text) & {(1 << 62) - 1}L) | {1 << 62}L")).otherwise(F.col("id")))
+    else:
+        own = own.withColumn("key", F.col("id"))
+    found = near_duplicates(own.select(F.col("key").alias("doc_id"), "text"), k, percent)
+    dropped = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("key")).distinct(), "dropped")
+    kept = own.join(dropped, "key", "left_anti")
+    if some:
+        kept = kept.filter("marked IS NULL").select("src").unionByName(kept.filter("marked").dropDuplicates(["key"]).select("src"))
+    return kept.select("src.*")
