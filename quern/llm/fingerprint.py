@@ -62,12 +62,12 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_range_of(F.col("doc_id"), sorted({int(c) for c in cuts})))
     placed = docs.withColumn("range", place)
     heads = [(r["range"], r["head"]) for r in placed.groupBy("range").agg(F.min("doc_id").alias("head")).orderBy("range").collect()]  # one a range
-    before = F.lit(None).cast("int")
-    for k, (_, head) in enumerate(heads):
-        same = F.col("doc_id").eqNullSafe(F.lit(head).cast("long"))
-        before = F.when(same, F.lit(heads[k - 1][0])).otherwise(before)
-    both = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("tail")), F.struct(before.alias("range"), F.lit(1).alias("tail")))
-    return placed.select("doc_id", "text", F.explode(both).alias("at")).select("doc_id", "text", "at.range", "at.tail").filter("range IS NOT NULL")
+    if not heads:
+        return placed.withColumn("tail", F.lit(0))
+    firsts = docs.sparkSession.createDataFrame([(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)], "head long, before int")
+    joined = placed.join(F.broadcast(firsts), placed["doc_id"].eqNullSafe(firsts["head"]), "left")  # at most MOST_RANGES + 1 rows
+    both = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("range"), F.lit(1).alias("tail")))
+    return joined.select("doc_id", "text", F.explode(both).alias("at")).select("doc_id", "text", "at.range", "at.tail").filter("range IS NOT NULL")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
