@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.storage import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -37,39 +39,15 @@ def rule_columns(host, path, rules=DEFAULT_RULES):
     return rule, verdict
 
 
-_REPUTATION = """
-WITH outcome AS (
-  SELECT host, count(*) AS n, sum(bad) AS k FROM {outcomes} GROUP BY host),
-everyone AS (SELECT DISTINCT host FROM {pages}),
-h AS (
-  SELECT e.host, regexp_extract(e.host, '([^.]*\\\\.)?[^.]*$', 0) AS domain, regexp_extract(e.host, '[^.]*$', 0) AS suffix,
-         CAST(coalesce(o.n, 0) AS DOUBLE) AS n, CAST(coalesce(o.k, 0) AS DOUBLE) AS k
-  FROM everyone e LEFT JOIN outcome o ON e.host = o.host),
-d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
-s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
-base AS (SELECT coalesce((sum(k) + 1) / (sum(n) + 2), 0.5D) AS p, coalesce(sum(n), 0D) AS n FROM s),
-moments AS (
-  SELECT level, count(*) AS m, sum(n) AS total, sum(n * n) AS squares,
-         sum(n * power(k / n - (SELECT p FROM base), 2)) AS spread
-  FROM (SELECT 'h' AS level, n, k FROM h WHERE n > 0 UNION ALL SELECT 'd', n, k FROM d WHERE n > 0
-        UNION ALL SELECT 's', n, k FROM s WHERE n > 0) GROUP BY level),
-between AS (
-  SELECT level, CASE WHEN m > 1 AND total - squares / total > 0
-                THEN (spread - (m - 1) * v) / (total - squares / total) ELSE 0D END AS tau, v
-  FROM (SELECT *, (SELECT p * (1 - p) FROM base) AS v FROM moments)),
-strength AS (
-  SELECT level, CASE WHEN tau <= v / ({most} + 1) THEN {most} ELSE greatest(v / tau - 1, {least}) END AS w FROM between),
-weights AS (
-  SELECT coalesce(max(CASE WHEN level = 'h' THEN w END), {most}) AS wh, coalesce(max(CASE WHEN level = 'd' THEN w END), {most}) AS wd,
-         coalesce(max(CASE WHEN level = 's' THEN w END), {most}) AS ws FROM strength),
-sp AS (SELECT suffix, (k + (SELECT ws FROM weights) * (SELECT p FROM base)) / (n + (SELECT ws FROM weights)) AS mean FROM s),
-dp AS (SELECT d.domain, (d.k + (SELECT wd FROM weights) * sp.mean) / (d.n + (SELECT wd FROM weights)) AS mean
-       FROM d JOIN sp ON d.suffix = sp.suffix),
-hp AS (SELECT h.host, h.n + (SELECT wh FROM weights) AS size,
-              (h.k + (SELECT wh FROM weights) * dp.mean) / (h.n + (SELECT wh FROM weights)) AS mean
-       FROM h JOIN dp ON h.domain = dp.domain)
-SELECT host, size, mean, mean - {z} * sqrt(mean * (1 - mean) / (size + 1)) AS lower_bound FROM hp
-"""
+def _strength(level: DataFrame, p: float, least: float, most: float) -> float:
+    """The prior's weight from the spread of the level's own rates about ``p``, by the method of moments."""
+    spread = F.col("n") * (F.col("k") / F.col("n") - F.lit(p)) * (F.col("k") / F.col("n") - F.lit(p))
+    m = level.filter("n > 0").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum(spread).alias("spread")).first()
+    if not m["m"]:
+        return most
+    v, room = p * (1 - p), m["total"] - m["squares"] / m["total"]
+    tau = (m["spread"] - (m["m"] - 1) * v) / room if m["m"] > 1 and room > 0 else 0.0
+    return most if tau <= v / (most + 1) else max(v / tau - 1, least)
 
 
 def host_reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645, least: float = 1.0, most: float = 1000.0) -> DataFrame:
@@ -81,9 +59,21 @@ def host_reputation(pages: DataFrame, labels: DataFrame, z: float = 1.645, least
     judged = labels.select(F.col("doc_id").alias("page_id"), F.when(
         F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False)), 1
     ).otherwise(0).alias("bad"), (F.col("quality").isNotNull() | F.col("toxic").isNotNull()).alias("known"))
-    outcomes = pages.join(judged.filter("known"), "page_id").select("host", "bad")
-    query = _REPUTATION.replace("{most}", f"{most!r}D").replace("{least}", f"{least!r}D").replace("{z}", f"{z!r}D")
-    return pages.sparkSession.sql(query, outcomes=outcomes, pages=pages.select("host"))
+    outcomes = pages.join(judged.filter("known"), "page_id").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("k"))
+    hosts = pages.select("host").distinct().join(outcomes, "host", "left").fillna(0.0, ["n", "k"]).select(
+        "host", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0).alias("domain"), F.regexp_extract("host", "[^.]*$", 0).alias("suffix"), "n", "k")
+    # A row a host, domain and suffix; all else is computed from these.
+    h = materialise(hosts, "hosts")
+    d = materialise(h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    s = materialise(d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
+    total = s.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    p = 0.5 if total["n"] is None else (total["k"] + 1) / (total["n"] + 2)
+    wh, wd, ws = (_strength(level, p, least, most) for level in (h, d, s))
+    shrunk = lambda w, mean: (F.col("k") + F.lit(w) * mean) / (F.col("n") + F.lit(w))
+    sp = s.select("suffix", shrunk(ws, F.lit(p)).alias("suffix_mean"))
+    dp = d.join(sp, "suffix").select("domain", shrunk(wd, F.col("suffix_mean")).alias("domain_mean"))
+    hp = h.join(dp, "domain").select("host", (F.col("n") + F.lit(wh)).alias("size"), shrunk(wh, F.col("domain_mean")).alias("mean"))
+    return hp.withColumn("lower_bound", F.col("mean") - F.lit(z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("size") + 1)))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=DEFAULT_RULES, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
