@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.storage import materialise
+
 BLOCK, PART = 64, 256
 
 
@@ -74,5 +76,5 @@ def render(prefixes: DataFrame, kept: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Collapse snapshots, then render what is left."""
-    prefixes = prefix_hashes(conversations.select("conv_id", "turn", "role", "text"))
+    prefixes = materialise(prefix_hashes(conversations.select("conv_id", "turn", "role", "text")), "prefixes")
     return render(prefixes, maximal(prefixes))
