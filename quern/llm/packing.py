@@ -3,9 +3,9 @@
 Documents are tokenised with a public vocabulary and closed with id 0. Only a document longer than
 ``limit`` is cut, into pieces of ``limit`` of which the first takes the remainder; a full piece is a
 sequence of its own. What is left, at most one piece a document, is packed in groups of about
-``group_docs`` documents: best fit decreasing on a 2048-bit mask of open bins, then swap-based local
-search that exchanges one-for-one, two-for-one or moves pieces between underfull bins so that the sum of
-squared fills grows, until no exchange helps or the group's lower bound is met. Groups are dealt by a
+``group_docs`` documents: best fit, as the pieces come, deals them to bins, then swap-based local search
+exchanges one-for-one, two-for-one or moves pieces between underfull bins so that the sum of squared fills
+grows and bins empty, until no exchange helps or the group's lower bound is met. Groups are dealt by a
 hash and their number follows the number of documents, so a task's memory does not grow with the input,
 and a group wastes less than one sequence against its bound in ordinary data.
 
@@ -16,6 +16,7 @@ like any other row; strings that look like special tokens are ordinary text; an
 from __future__ import annotations
 
 import base64
+import heapq
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT, GROUP_DOCS, END_ID = 2048, 32_768, 0
+LIMIT, GROUP_DOCS, END_ID, DONORS = 2048, 32_768, 0, 8
 # Ids travel as strings through pandas, which would turn a nullable long into a double.
 SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long"
 _encoders: dict = {}
@@ -81,12 +82,12 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
 
 
 def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
-    """Bins as lists of indexes into ``sizes``, by best fit decreasing."""
+    """Bins as lists of indexes into ``sizes``: each piece, as it comes, into the fullest bin that holds it."""
     bins, by_room, mask = [], [[] for _ in range(limit + 1)], 0
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        fits = mask >> sizes[i]
+    for i, size in enumerate(sizes):
+        fits = mask >> size
         if fits:
-            room = (fits & -fits).bit_length() - 1 + sizes[i]
+            room = (fits & -fits).bit_length() - 1 + size
             b = by_room[room].pop()
             if not by_room[room]:
                 mask ^= 1 << room
@@ -94,43 +95,111 @@ def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
             room, b = limit, len(bins)
             bins.append([])
         bins[b].append(i)
-        by_room[room - sizes[i]].append(b)
-        mask |= 1 << (room - sizes[i])
+        by_room[room - size].append(b)
+        mask |= 1 << (room - size)
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], limit: int, rounds: int = 8) -> list[list[int]]:
+class _Reach:
+    """Underfull bins by what would fill them: room alone (a move), or room and one piece that leaves (an exchange)."""
+
+    def __init__(self, limit: int):
+        self.turn, self.places = {}, [[] for _ in range(limit + 1)]
+
+    def put(self, b: int, room: int, members: list[int], sizes: list[int]) -> None:
+        self.turn[b] = turn = self.turn.get(b, 0) + 1  # what was said of the bin before holds no more
+        if room and members:
+            self.places[room].append((b, turn, None))
+            for size, j in {sizes[j]: j for j in members}.items():
+                self.places[room + size].append((b, turn, j))
+
+    def take(self, size: int, donor: int) -> tuple[int, int | None] | None:
+        """A bin but the donor that pieces of ``size`` in all would fill to the limit, and the piece that leaves it."""
+        found, held = self.places[size], None
+        while found:
+            b, turn, j = found.pop()
+            if self.turn[b] != turn:
+                continue
+            if b != donor:
+                if held:
+                    found.append(held)
+                return b, j
+            held = (b, turn, j)
+        if held:
+            found.append(held)
+        return None
+
+
+def local_search(bins: list[list[int]], sizes: list[int], limit: int) -> list[list[int]]:
     """Exchange pieces between underfull bins while the sum of squared fills grows, emptying bins.
 
-    The emptiest bin is the donor: its pieces move into bins with room, or swap one-for-one against a
-    smaller piece, or two of them against one, always into a bin that is at least as full.
+    The emptiest bin is the donor. One or two of its pieces go to a bin that they fill to the limit, by a move or against one smaller
+    piece; where there is no such bin, the best exchange with the bin of the most room is made. Every exchange goes to a bin at
+    least as full, so the sum grows. It ends at the lower bound, or when none of the emptiest bins, ``DONORS`` times as many as there
+    are beyond the bound, has an exchange left.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    bound = -(-sum(fill) // limit)
-    for _ in range(rounds):
-        if sum(map(bool, bins)) <= bound:
-            break
-        underfull = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < limit), key=lambda b: (fill[b], b))
-        changed = False
-        for k, donor in enumerate(underfull[: len(underfull) - 1][: sum(map(bool, bins)) - bound]):
-            for other in reversed(underfull[k + 1 :]):
-                room = limit - fill[other]
-                if not room or not bins[donor]:
-                    continue
-                moved = _exchange(bins, sizes, donor, other, room)
-                if moved:
-                    fill[donor] -= moved
-                    fill[other] += moved
-                    changed = True
-            if not bins[donor]:
-                break
-        if not changed:
-            break
+    bound, alive = -(-sum(fill) // limit), sum(map(bool, bins))
+    reach = _Reach(limit)
+    for b, members in enumerate(bins):
+        reach.put(b, limit - fill[b], members, sizes)
+    moved = True
+    while moved and alive > bound:  # a bin that had no exchange may have one once others have changed
+        moved, stuck = False, set()
+        queue = [(f, b) for b, f in enumerate(fill) if bins[b] and f < limit]
+        heapq.heapify(queue)
+        while alive > bound and queue and len(stuck) < DONORS * (alive - bound):
+            f, donor = heapq.heappop(queue)
+            if f != fill[donor] or not bins[donor] or donor in stuck or f == limit:
+                continue
+            while bins[donor]:
+                other = _fill_up(bins, sizes, fill, donor, reach)
+                if other is None and len(stuck) < alive - bound:
+                    other = _improve(bins, sizes, fill, donor, limit)
+                if other is None:
+                    stuck.add(donor)
+                    break
+                moved = True
+                reach.put(other, limit - fill[other], bins[other], sizes)
+                heapq.heappush(queue, (fill[other], other))
+            reach.put(donor, limit - fill[donor], bins[donor], sizes)
+            alive -= not bins[donor]
     return [b for b in bins if b]
 
 
-def _exchange(bins, sizes, donor: int, other: int, room: int) -> int:
-    """The best single exchange from donor to other within room; the size that moved on balance."""
+def _swap(bins, sizes, fill, donor: int, other: int, out: tuple, back: tuple) -> int:
+    gain = sum(sizes[i] for i in out) - sum(sizes[j] for j in back)
+    bins[donor] = [i for i in bins[donor] if i not in out] + list(back)
+    bins[other] = [j for j in bins[other] if j not in back] + list(out)
+    fill[donor], fill[other] = fill[donor] - gain, fill[other] + gain
+    return other
+
+
+def _fill_up(bins, sizes, fill, donor: int, reach: _Reach) -> int | None:
+    """Fill another bin to the limit with one or two of the donor's pieces; the bin."""
+    give = sorted({sizes[i]: i for i in bins[donor]}.items(), reverse=True)
+    for size, i in give:
+        if found := reach.take(size, donor):
+            return _swap(bins, sizes, fill, donor, found[0], (i,), () if found[1] is None else (found[1],))
+    for x, (size, i) in enumerate(give):
+        for more, i2 in give[x + 1 :]:
+            if size + more < len(reach.places) and (found := reach.take(size + more, donor)):
+                return _swap(bins, sizes, fill, donor, found[0], (i, i2), () if found[1] is None else (found[1],))
+    return None
+
+
+def _improve(bins, sizes, fill, donor: int, limit: int) -> int | None:
+    """The best exchange with the bin of the most room that has one; the bin."""
+    others = sorted((b for b in range(len(bins)) if b != donor and bins[b] and fill[donor] <= fill[b] < limit), key=lambda b: (fill[b], b))
+    for other in others:
+        gain, out, back = _exchange(bins, sizes, donor, other, limit - fill[other])
+        if gain:
+            return _swap(bins, sizes, fill, donor, other, out, back)
+    return None
+
+
+def _exchange(bins, sizes, donor: int, other: int, room: int) -> tuple[int, tuple, tuple]:
+    """The best single exchange from donor to other within room: the size that moves on balance, the pieces that go and that come."""
     give, take = bins[donor], bins[other]
     best = (0, (), ())
     have: dict[int, int] = {}
@@ -145,11 +214,7 @@ def _exchange(bins, sizes, donor: int, other: int, room: int) -> int:
             for i2 in give[x + 1 :]:
                 if 0 < sizes[i] + sizes[i2] - s <= room:
                     best = max(best, (sizes[i] + sizes[i2] - s, (i, i2), (j,)))
-    gain, out, back = best
-    if gain:
-        bins[donor] = [i for i in give if i not in out] + list(back)
-        bins[other] = [j for j in take if j not in back] + list(out)
-    return gain
+    return best
 
 
 def pack_sizes(sizes: list[int], limit: int = LIMIT) -> list[list[int]]:
