@@ -11,6 +11,22 @@ from pyspark.sql import DataFrame
 MAP_BITS = 24
 
 
+def _packed(block: np.ndarray) -> bytes:
+    """A block's cells: only the set ones with their places, where they are fewer bytes."""
+    at = np.flatnonzero(block)
+    if len(at) * (2 + block.itemsize) < block.nbytes:
+        return at.astype("<u2").tobytes() + block[at].tobytes()
+    return block.tobytes()
+
+
+def _unpacked(part: bytes, step: int, dtype: np.dtype):
+    """The places and values of a packed block."""
+    if len(part) == step * dtype.itemsize:
+        return slice(None), np.frombuffer(part, dtype)
+    n = len(part) // (2 + dtype.itemsize)
+    return np.frombuffer(part, "<u2", n), np.frombuffer(part[2 * n :], dtype)
+
+
 def add_up(df: DataFrame, cells, n: int, dtype: str, combine=np.add) -> np.ndarray:
     """An array of ``n`` cells that ``cells(array, batch)`` fills, combined over all rows by blocks on the executors."""
     step = min(n, 1 << 14)
@@ -19,13 +35,14 @@ def add_up(df: DataFrame, cells, n: int, dtype: str, combine=np.add) -> np.ndarr
         total = np.zeros(n, np.dtype(dtype))
         for batch in batches:
             cells(total, batch)
-        filled = [k for k in range(0, n, step) if total[k : k + step].any()]
-        yield pd.DataFrame({"block": [k // step for k in filled], "part": [total[k : k + step].tobytes() for k in filled]})
+        filled = [(k // step, _packed(total[k : k + step])) for k in range(0, n, step) if total[k : k + step].any()]
+        yield pd.DataFrame(filled, columns=["block", "part"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(step, np.dtype(dtype))
         for part in group["part"]:
-            combine(total, np.frombuffer(part, np.dtype(dtype)), out=total)
+            at, values = _unpacked(part, step, np.dtype(dtype))
+            total[at] = combine(total[at], values)
         return pd.DataFrame({"block": [group["block"].iloc[0]], "part": [total.tobytes()]})
 
     schema = "block long, part binary"

@@ -48,6 +48,10 @@ def _block(data: bytes, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
     value = _TABLE[raw[inside]]
     value *= _POWER[place & (_WRAP - 1)]
+    if length.max() > _WRAP:  # the powers run on beyond the table
+        far = np.flatnonzero(place >= _WRAP)
+        turns = place[far] // _WRAP
+        value[far] *= np.multiply.accumulate(np.full(turns.max(), _POWER[-1], dtype=np.uint64))[turns - 1]
     hashed = np.add.reduceat(value, first)
     hashed += length.astype(np.uint64) * _ODD[1]
     return _mix(hashed), start, end
