@@ -12,7 +12,7 @@ normalised scores; the text's evidence is the largest -ln of it over r, and a lo
 texts turns evidence into a probability.
 
 Bounds: the model is fitted on about ``TRAIN_DOCS`` distinct labelled texts, chosen by hash (all, if fewer), its
-curve on about ``FIT_DOCS`` of them; at most ``MAX_TOKENS`` tokens are broadcast, the most significant first.
+curve on about ``FIT_DOCS`` of them; the tokens that are broadcast are some of those texts' tokens.
 
 Defined cases: null and empty texts have no segment and get the curve's score at zero evidence; a document
 labelled twice is toxic if one label says so; labels without a document or with null toxic are ignored; without
@@ -33,7 +33,7 @@ from quern.functions.storage import materialise
 from quern.llm.wordhash import PUNCTUATION, words
 
 PRIOR, MIN_Z, MIN_ODDS, DRIFT, CAP, ALPHA, K = 0.05, 2.5, 2.0, 0.1, 6.0, 0.05, 0.1
-TRAIN_DOCS, FIT_DOCS, MAX_TOKENS, RIDGE = 200_000, 20_000, 100_000, 0.05
+TRAIN_DOCS, FIT_DOCS, RIDGE = 200_000, 20_000, 0.05
 
 
 def _tokens(texts):
@@ -201,7 +201,7 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model | None:
         counts.withColumn("p", F.expr(f"{prior}D * (y1 + y0) / {float(n1 + n0)}D"))
         .withColumn("d", F.expr(f"ln((y1 + p) / ({n1 + prior}D - y1 - p + 1e-9D)) - ln((y0 + p) / ({n0 + prior}D - y0 - p + 1e-9D))"))
         .withColumn("z", F.expr("d / sqrt(1 / (y1 + p) + 1 / (y0 + p))")).filter((F.col("z") >= MIN_Z) & (F.col("d") >= MIN_ODDS))
-        .orderBy(F.desc("z"), "token").limit(MAX_TOKENS).select("token", "d", "y0", "p").toPandas()
+        .select("token", "d", "y0", "p").orderBy("token").toPandas()  # significant tokens of at most about TRAIN_DOCS texts
     )
     background = ((odds["y0"] + odds["p"]) / (n0 + prior) / 100.0).to_numpy()  # a text holds about a hundred tokens
     model = Model(odds["token"].to_numpy().view(np.uint64), np.minimum(odds["d"].to_numpy(), CAP), background)
