@@ -10,7 +10,7 @@ a document is contaminated when the best local alignment reaches ``THRESHOLD`` o
 
 Words are lower-cased runs of letters, digits and non-ASCII characters. Defined cases: null and empty
 texts and items match nothing; an item shorter than ``SEED`` words matches only a document of exactly
-those words; repeated items count once an item_id, repeated documents each give their rows; a null doc_id
+those words; each text of an item_id is looked for and the best counts, repeated documents each give their rows; a null doc_id
 or item_id gives no row; an empty benchmark gives none.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.storage import materialise
 from quern.llm.grid import bitmap, in_bitmap
+from quern.llm.rows import keyed
 from quern.llm.wordhash import PUNCTUATION, shingles, words
 
 SEED, RARE, THRESHOLD = 3, 0.67, 0.5
@@ -99,7 +100,10 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score (1 for a whole copy), start_word, end_word of every contaminated document and item."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds, items = item_seeds(benchmark)
+    texts = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("own_id"), "text").distinct()
+    texts = materialise(texts.withColumn("item_id", F.xxhash64("own_id", "text")), "item-texts")  # a key for each text of an item
+    seeds, items = item_seeds(texts.select("item_id", "text"))
+    items = items.join(texts.select("item_id", "own_id"), "item_id")
     hits = materialise(seed_hits(docs, seeds), "hits")
     spread = hits.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
     rank = W.partitionBy("item_id")  # one item's seeds: as many as its words
@@ -112,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     near = hits.join(rare, "gram").select("doc_id", "item_id", F.floor((F.col("pos") - F.col("at")) / 8).alias("diagonal")).distinct()
     per_item = near.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"))
     wanted = materialise(
-        per_item.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonals", "item")).alias("items")), "wanted")
+        per_item.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("own_id", "diagonals", "item")).alias("items")), "wanted")
     known = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("doc_id").alias("key"))))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             h, bounds = words(_lower(batch["text"]), PUNCTUATION)
             rows = []
             for doc_id, items_, a, b in zip(batch["doc_id"], batch["items"], bounds[:-1], bounds[1:], strict=True):
-                doc = h[a:b]
+                doc, passed = h[a:b], {}
                 for x in items_:
                     item = np.frombuffer(x["item"], np.uint64)
                     n, best = len(item), (0, 0, 0)
@@ -142,7 +146,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     got, lo, end = best[0], -best[1], best[2]
                     if got >= threshold * MATCH * n:
                         back = align(item[::-1], doc[lo : lo + end][::-1])[1]
-                        rows.append((doc_id, x["item_id"], got / (MATCH * n), lo + end - back, lo + end))
+                        found = (got / (MATCH * n), back - lo - end, lo + end)
+                        passed[x["own_id"]] = max(passed.get(x["own_id"], found), found)
+                rows += [(doc_id, own, share, -first, end) for own, (share, first, end) in sorted(passed.items())]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
 
     chosen = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(pick, "doc_id long, text string")
@@ -152,7 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the contaminated documents; rows without a doc_id stay."""
+    """``docs`` without the contaminated documents, each row being one, also where its doc_id is repeated or null; columns of any name pass."""
+    own, _ = keyed(docs)
     # Written first: its size is then known, and Spark broadcasts it only below its threshold.
-    bad = materialise(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    bad = materialise(contaminated(own.select(F.col("key").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return own.join(bad, "key", "left_anti").select("src.*")

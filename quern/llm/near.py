@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from quern.functions.storage import materialise, release
 from quern.llm.components import connected_components
 from quern.llm.grid import add_up, bitmap, in_bitmap
+from quern.llm.rows import keyed
 from quern.llm.wordhash import MinHash, shingles, words
 
 SIZE, MATCHES = 64, 38
@@ -323,17 +324,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     Every row is a document of its own: rows whose doc_id is repeated or null are told apart by their text and come
     after all others; of rows that repeat doc_id and text, one stays. Columns of any name pass through untouched.
     """
-    key = F.col("doc_id").cast("long")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("src"), key.alias("id"), "text")
-    # Lists are written before they are joined: their size is then known, and Spark broadcasts only below its threshold.
-    repeated = materialise(docs.groupBy(key.alias("again")).count().filter("count > 1 OR again IS NULL").select("again"), "repeated")
-    some = not repeated.isEmpty()
-    if some:
-        marked = repeated.select("again", F.lit(True).alias("marked"))
-        own = own.join(marked, own["id"].eqNullSafe(marked["again"]), "left").drop("again")
-        own = own.withColumn("key", F.when(F.col("marked"), F.expr(f"(xxhash64(id, text) & {(1 << 62) - 1}L) | {1 << 62}L")).otherwise(F.col("id")))
-    else:
-        own = own.withColumn("key", F.col("id"))
+    own, some = keyed(docs)
     found = near_duplicates(own.select(F.col("key").alias("doc_id"), "text"), k, percent)
     dropped = materialise(found.filter("NOT kept").select(F.col("doc_id").alias("key")).distinct(), "dropped")
     kept = own.join(dropped, "key", "left_anti")
