@@ -129,8 +129,8 @@ def _bucket_pivots(label: DataFrame, turn: int) -> DataFrame:
     """``label`` (band, lid, c) with one line of the bucket, another each turn, as pivot, and its component as own."""
     flip = F.lit(random.Random(turn).getrandbits(63))
     pivots = label.groupBy("band").agg(F.min(F.col("lid").bitwiseXOR(flip)).bitwiseXOR(flip).alias("pivot"))
-    own = label.select(F.col("lid").alias("pivot"), F.col("c").alias("own")).distinct()
-    return label.join(pivots.join(own, "pivot"), "band")
+    own = label.select("band", F.col("lid").alias("pivot"), F.col("c").alias("own"))
+    return label.join(pivots, "band").join(own, ["band", "pivot"])
 
 
 def _open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -178,9 +178,11 @@ def line_components(texts: DataFrame, percent: int = 80) -> DataFrame:
     buckets = materialise(posted.join(heads, "band").filter("lid <> pivot").select("band", "lid", "pivot"), "line-buckets")
     stars, comps = buckets.select(F.col("pivot").alias("a"), F.col("lid").alias("b")).distinct(), None
     for turn in range(1, TURNS + 2):
+        stars = materialise(stars, "line-stars")  # its size is then known: few pairs are broadcast to the signatures, which stay in place
         alike = materialise(stars.join(_sigs("y", signed, "b"), "b").join(_sigs("x", signed, "a"), "a").filter(_matches("x", "y") >= ENOUGH).select("a", "b"), "line-pairs")
         links = materialise(verify(texts, alike, percent), "line-links")
-        release(spark, alike)
+        for frame in (alike, stars):
+            release(spark, frame)
         found = links.count()
         if found:
             comps = connected_components(links if comps is None else links.unionByName(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
