@@ -9,7 +9,7 @@ import numpy as np
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from quern.llm import fingerprint, langid, lines, near, packing
+from quern.llm import decontam, fingerprint, grid, langid, lines, near, packing, wordhash
 from test_units import components, make, prose
 
 
@@ -118,3 +118,30 @@ def test_ranges_of_documents_may_be_many(spark):
     following = {r.range: r.doc_id for r in ranged if r.tail}
     heads = sorted({min((d for d in own if d is not None and own[d] == k), default=10**9) for k in set(own.values())})
     assert all(following[own[h - 1]] == h for h in heads if 0 < h < 10**9)
+
+
+def test_every_text_of_an_item_is_looked_for(spark):
+    rng = random.Random(4)
+    one, two = prose(rng, 25, 10**5), prose(rng, 25, 10**5)
+    bench = spark.createDataFrame([(1, one), (1, two), (2, one)], "item_id long, text string")
+    body = lambda: prose(rng, 60, 10**5)
+    rows = [(1, f"{body()} {two} {body()}"), (2, f"{body()} {one}"), (3, f"{one} {two}"), (4, body()), (7, f"{one} {body()}"), (7, body()), (None, f"{body()} {two}"), (None, body())]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, src string, key string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert found == {(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (7, 1), (7, 2)}
+    kept = decontam.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted((i or -1, rows[k][1]) for k, (i, _) in enumerate(rows) if k in (3, 5, 7))
+
+
+def test_long_words_hash_by_all_of_their_bytes():
+    a, b = b"a" * 4096, b"b" * 4096
+    h = wordhash.words([a + b, b + a, a + b + a, a + a + b, a + b])[0].tolist()
+    assert len(set(h)) == 4 and h[0] == h[4]
+
+
+def test_blocks_of_a_grid_travel_packed():
+    for block in (np.zeros(1 << 14, np.uint8), np.eye(1, 1 << 14, 77, dtype=np.int64)[0] * 9, np.arange(1 << 14, dtype=np.int64)):
+        at, values = grid._unpacked(grid._packed(block), 1 << 14, block.dtype)
+        out = np.zeros_like(block)
+        out[at] = values
+        assert (out == block).all()
