@@ -82,9 +82,9 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
 
 
 def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
-    """Bins as lists of indexes into ``sizes``: each piece, as it comes, into the fullest bin that holds it."""
+    """Bins as lists of indexes into ``sizes``: each piece into the fullest bin that holds it, first those of half a bin or more, then the others as they come."""
     bins, by_room, mask = [], [[] for _ in range(limit + 1)], 0
-    for i, size in enumerate(sizes):
+    for i, size in sorted(enumerate(sizes), key=lambda x: 2 * x[1] < limit):
         fits = mask >> size
         if fits:
             room = (fits & -fits).bit_length() - 1 + size
@@ -109,32 +109,33 @@ class _Reach:
     def put(self, b: int, room: int, members: list[int], sizes: list[int]) -> None:
         self.turn[b] = turn = self.turn.get(b, 0) + 1  # what was said of the bin before holds no more
         if room and members:
-            self.places[room].append((b, turn, None))
-            for size, j in {sizes[j]: j for j in members}.items():
-                self.places[room + size].append((b, turn, j))
-
-    def take(self, size: int, donor: int) -> tuple[int, int | None] | None:
-        """A bin but the donor that pieces of ``size`` in all would fill to the limit, and the piece that leaves it."""
-        found, held = self.places[size], None
-        while found:
-            b, turn, j = found.pop()
-            if self.turn[b] != turn:
-                continue
-            if b != donor:
-                if held:
-                    found.append(held)
-                return b, j
-            held = (b, turn, j)
-        if held:
-            found.append(held)
-        return None
+            self.places[room].append((b, turn, ()))
+            some = list({sizes[j]: j for j in members}.items())
+            for k, (size, j) in enumerate(some):
+                self.places[room + size].append((b, turn, (j,)))
+                for more, j2 in some[k + 1 :]:
+                    if room + size + more < len(self.places):
+                        self.places[room + size + more].append((b, turn, (j, j2)))
+
+    def take(self, size: int, donor: int, one: bool) -> tuple[int, tuple] | None:
+        """A bin but the donor that pieces of ``size`` in all would fill to the limit, and what leaves it; two pieces only if ``one`` comes."""
+        found, held, out = self.places[size], [], None
+        while found and out is None:
+            b, turn, back = found.pop()
+            if self.turn[b] == turn:
+                if b == donor or (len(back) > 1 and not one):
+                    held.append((b, turn, back))
+                else:
+                    out = b, back
+        found += held
+        return out
 
 
 def local_search(bins: list[list[int]], sizes: list[int], limit: int) -> list[list[int]]:
     """Exchange pieces between underfull bins while the sum of squared fills grows, emptying bins.
 
-    The emptiest bin is the donor. One or two of its pieces go to a bin that they fill to the limit, by a move or against one smaller
-    piece; where there is no such bin, the best exchange with the bin of the most room is made. Every exchange goes to a bin at
+    The emptiest bin is the donor. One or two of its pieces go to a bin that they fill to the limit, by a move, or against one smaller
+    piece, or one of them against two; where there is no such bin, the best exchange with the bin of the most room is made. Every exchange goes to a bin at
     least as full, so the sum grows. It ends at the lower bound, or when none of the emptiest bins, ``DONORS`` times as many as there
     are beyond the bound, has an exchange left.
     """
@@ -179,12 +180,12 @@ def _fill_up(bins, sizes, fill, donor: int, reach: _Reach) -> int | None:
     """Fill another bin to the limit with one or two of the donor's pieces; the bin."""
     give = sorted({sizes[i]: i for i in bins[donor]}.items(), reverse=True)
     for size, i in give:
-        if found := reach.take(size, donor):
-            return _swap(bins, sizes, fill, donor, found[0], (i,), () if found[1] is None else (found[1],))
+        if found := reach.take(size, donor, True):
+            return _swap(bins, sizes, fill, donor, found[0], (i,), found[1])
     for x, (size, i) in enumerate(give):
         for more, i2 in give[x + 1 :]:
-            if size + more < len(reach.places) and (found := reach.take(size + more, donor)):
-                return _swap(bins, sizes, fill, donor, found[0], (i, i2), () if found[1] is None else (found[1],))
+            if size + more < len(reach.places) and (found := reach.take(size + more, donor, False)):
+                return _swap(bins, sizes, fill, donor, found[0], (i, i2), found[1])
     return None
 
 
