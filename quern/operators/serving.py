@@ -57,7 +57,7 @@ def rolling_latency(samples: DataFrame, window: str = "60 seconds", slide: str =
 
 
 def dwell(events: DataFrame) -> DataFrame:
-    """session_id, event_id, dwell_s: each click's time until the session's next event; open at the end of the log."""
+    """session_id, event_id, dwell_us: microseconds from each click to the session's next event of any type; null at the end of the log."""
     w = W.partitionBy("session_id").orderBy("ts", "event_id")
     nxt = events.withColumn("next_ts", F.lead("ts").over(w)).filter("type = 'click'")
     return nxt.select("session_id", "event_id", (F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("dwell_us"))

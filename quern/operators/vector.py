@@ -115,19 +115,20 @@ def assign(vectors: DataFrame, centres: np.ndarray, overlap: int = 1) -> DataFra
 
 
 class ProductQuantiser:
-    """``parts`` sub-quantisers of ``size`` centroids on centred data."""
+    """``parts`` sub-quantisers of ``size`` centroids on centred data; widths differ by one where the dimensions do not divide evenly."""
 
     def __init__(self, x: np.ndarray, parts: int = 8, size: int = 64, seed: int = 0):
         self.mean = x.mean(0)
-        self.parts, self.width = parts, x.shape[1] // parts
+        ends = np.arange(parts + 1) * x.shape[1] // parts
+        self.parts, self.cuts = parts, [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         centred = x - self.mean
-        self.books = [lloyd(centred[:, m * self.width : (m + 1) * self.width], size, seed=seed + m) for m in range(parts)]
+        self.books = [lloyd(centred[:, cut], size, seed=seed + m) for m, cut in enumerate(self.cuts)]
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         centred = x - self.mean
         out = np.empty((len(x), self.parts), np.uint8)
         for m, book in enumerate(self.books):
-            part = centred[:, m * self.width : (m + 1) * self.width]
+            part = centred[:, self.cuts[m]]
             out[:, m] = ((book * book).sum(1) - 2 * part @ book.T).argmin(1)
         return out
 
@@ -136,7 +137,7 @@ class ProductQuantiser:
 
     def inner_products(self, query: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances from a table of one row a part."""
-        table = [book @ query[m * self.width : (m + 1) * self.width] for m, book in enumerate(self.books)]
+        table = [book @ query[cut] for book, cut in zip(self.books, self.cuts, strict=True)]
         return sum(t[codes[:, m]] for m, t in enumerate(table)) + float(query @ self.mean)
 
 

@@ -304,7 +304,7 @@ def fusion_zscore(spark, sf):
 
 @query
 def fusion_grid(spark, sf):
-    """Mean nDCG@10 of every configuration."""
+    """Discounted gain of the top 10, summed over topics, of every configuration."""
     runs = fu.grid(lexical_run(spark, sf), dense_run(spark, sf), [0.2, 0.5, 0.8])
     order = W.partitionBy("config", "qid").orderBy(F.desc("score"), "doc_id")
     ranked = runs.withColumn("rank", F.row_number().over(order)).filter("rank <= 10")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from quern.operators import fusion as fu
 from quern.operators import lexical as lx
 from quern.operators import serving as sv
 from quern.operators import suggest as su
+from quern.operators import vector as ve
 from quern.sources import formats as fm
 
 
@@ -104,3 +106,11 @@ def test_columns(spark):
     assert sv.without(spark.createDataFrame([(1, 2)], "a int, ms_b int"), "ms_").columns == ["a"]
     teams = spark.createDataFrame([(f"r{i}", 1, "A" if i % 4 else "B") for i in range(16)], "request_id string, rank int, team string")
     assert tuple(ex.team_balance(teams).first()) == (12, 4, 2.0)
+
+
+def test_quantiser_keeps_dimensions_that_do_not_divide_evenly():
+    x = np.random.default_rng(1).normal(size=(400, 10)).astype(np.float32)
+    pq = ve.ProductQuantiser(x, parts=4, size=16)
+    codes = pq.encode(x)
+    assert pq.decode(codes).shape == x.shape and [c.stop - c.start for c in pq.cuts] == [2, 3, 2, 3]
+    assert np.allclose(pq.inner_products(x[0], codes), pq.decode(codes) @ x[0], atol=1e-4)
