@@ -7,8 +7,8 @@ set of sorted hash arrays: the packed n-gram through a bijective 64-bit mix, wit
 probabilities a language (or of back-off weights for contexts). A text is given the language of the
 lowest cross-entropy per character.
 
-Rejection is calibrated: on a bounded, hash-chosen sample of at most ``CALIBRATION`` whole training texts a
-language, scored on the executors, the spread of cross-entropy is measured, and a text is rejected when its best cross-entropy
+Rejection is calibrated: over all training texts, scored whole on the executors, the exact median of cross-entropy and
+of the distance from it (times 1.4826) are found from counts of cells, and a text is rejected when its best cross-entropy
 lies more than ``REJECT`` spreads, and ``MARGIN`` nats, above the median of that language, the spread
 growing for short texts. Letters drawn at random lie about two nats above it.
 
@@ -31,13 +31,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.storage import materialise, release
 
-ORDER, MODEL_BYTES, CALIBRATION, REJECT, MARGIN = 4, 64 << 20, 400, 12.0, 1.2
+ORDER, MODEL_BYTES, CELL, REJECT, MARGIN = 4, 64 << 20, 1e-4, 12.0, 1.2
 SPACE, PLACEHOLDER = 32, 0xFFFD
 _C = np.uint64(0x9E3779B97F4A7C15)
 _LETTER: np.ndarray | None = None
@@ -317,32 +316,63 @@ class Parts:
         return Model({lang: (g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for lang, g in by_lang.items()}, self.whole)
 
 
-def train_model(train: DataFrame) -> Parts | None:
-    """Fit on ``train`` (doc_id, text, lang); rows without text or lang are ignored."""
-    train = train.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = materialise(gram_counts(train), "grams")
+def _fit(train: DataFrame) -> Parts | None:
+    """Models of ``train`` (text, lang) without rejection limits; rows without text or lang are ignored."""
+    counts = materialise(gram_counts(train.filter("text IS NOT NULL AND lang IS NOT NULL")), "grams")
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     # A row of the tables is a hash and a column a language, for n-grams and contexts of each order.
-    parts = Parts(counts, -(-sum(sizes.values()) * 2 * (8 + 4 * len(sizes)) // MODEL_BYTES), sorted(sizes))
-    pick = W.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = (
-        train.select("doc_id", "lang", F.xxhash64("doc_id", "lang").alias("h")).withColumn("r", F.row_number().over(pick))
-        .filter(F.col("r") <= CALIBRATION).select("doc_id", "lang")
-    )
-    # At most CALIBRATION rows a language, so the broadcast is bounded; two numbers a row come back.
-    sample = scored(train.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", "text"), parts).select("lang", "_sums", "_n").toPandas()
-    n = sample["_n"].to_numpy()
-    for c, lang in enumerate(parts.langs):
-        own = (sample["lang"] == lang).to_numpy() & (n >= 20)
-        if own.any():
-            ce = -np.array([x[c] for x in sample["_sums"][own]]) / n[own]
-            parts.mean[c] = np.median(ce)
-            parts.spread[c] = max(1.4826 * np.median(np.abs(ce - parts.mean[c])), 0.02)
+    return Parts(counts, -(-sum(sizes.values()) * 2 * (8 + 4 * len(sizes)) // MODEL_BYTES), sorted(sizes))
+
+
+def _medians(values: DataFrame) -> dict[str, float]:
+    """The exact median of v by lang. Counts of cells of ``CELL`` come to the driver, then the values of the middle cells."""
+    cells = values.withColumn("cell", F.floor(F.col("v") / CELL))
+    counts = cells.groupBy("lang", "cell").count().toPandas().sort_values(["lang", "cell"])
+    places, wanted = {}, []
+    for lang, own in counts.groupby("lang"):
+        upto = own["count"].cumsum().to_numpy()
+        for rank in {(upto[-1] - 1) // 2, upto[-1] // 2}:
+            k = int(np.searchsorted(upto, rank, side="right"))
+            cell = int(own["cell"].iloc[k])
+            places.setdefault(lang, []).append((cell, rank - (upto[k - 1] if k else 0)))
+            wanted.append((lang, cell))
+    if not wanted:
+        return {}
+    middle = cells.join(F.broadcast(cells.sparkSession.createDataFrame(sorted(set(wanted)), "lang string, cell long")), ["lang", "cell"])
+    found = {key: own.sort_values("v") for key, own in middle.groupBy("lang", "cell", "v").count().toPandas().groupby(["lang", "cell"])}
+
+    def value(lang, cell, rank):
+        own = found[(lang, cell)]
+        return float(own["v"].iloc[int(np.searchsorted(own["count"].cumsum().to_numpy(), rank, side="right"))])
+
+    return {lang: float(np.mean([value(lang, *place) for place in own])) for lang, own in places.items()}
+
+
+def _calibrate(parts: Parts, scores: DataFrame) -> Parts:
+    """Set the middle and the spread of the cross-entropy of each language from all of ``scores`` (lang, _sums, _n)."""
+    at = F.create_map(*[F.lit(x) for k, lang in enumerate(parts.langs) for x in (lang, k)])
+    own = scores.filter(F.col("_n") >= 20).select("lang", (-F.get("_sums", at[F.col("lang")]) / F.col("_n")).alias("v")).filter("v IS NOT NULL")
+    own = materialise(own, "entropies")
+    mean = _medians(own)
+    if mean:
+        middle = F.create_map(*[F.lit(x) for pair in mean.items() for x in pair])
+        spread = _medians(own.select("lang", F.abs(F.col("v") - middle[F.col("lang")]).alias("v")))
+        for c, lang in enumerate(parts.langs):
+            if lang in mean:
+                parts.mean[c], parts.spread[c] = mean[lang], max(1.4826 * spread[lang], 0.02)
+    release(scores.sparkSession, own)
     return parts
 
 
+def train_model(train: DataFrame) -> Parts | None:
+    """Fit on ``train`` (text, lang); rows without text or lang are ignored. All of them set the rejection limits."""
+    train = train.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    parts = _fit(train)
+    return parts and _calibrate(parts, scored(train, parts).select("lang", "_sums", "_n"))
+
+
 def scored(docs: DataFrame, parts: Parts) -> DataFrame:
     """``docs`` with _sums (log probabilities of the text by language) and _n (characters). Columns travel as Arrow,
     so any type and null survives."""

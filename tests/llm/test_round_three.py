@@ -5,9 +5,11 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from quern.llm import lines
+from quern.llm import langid, lines
 from test_units import components, prose
 
 
@@ -33,3 +35,15 @@ def test_pairs_are_found_between_classes_and_blocks(spark, monkeypatch):
 
 def test_few_pairs_of_lines_share_no_band():
     assert (1 - 0.8**lines.ROWS) ** lines.BANDS < 2.8e-4
+
+
+def test_rejection_limits_come_from_all_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefghij"[: 2 + i % 9]) for _ in range(60)), "xy"[i % 2]) for i in range(1001)] + [(2000, "ab", "x"), (2001, None, "x"), (2002, "abab" * 20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train_model(docs)
+    scores = [r for r in langid.scored(docs.filter("doc_id < 1001"), model).collect()]
+    for c, lang in enumerate("xy"):
+        ce = np.array([-r["_sums"][c] / r["_n"] for r in scores if r.lang == lang])
+        assert abs(model.mean[c] - np.median(ce)) < 1e-9
+        assert abs(model.spread[c] - max(1.4826 * np.median(np.abs(ce - np.median(ce))), 0.02)) < 1e-9
